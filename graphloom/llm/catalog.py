@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mpeg", "secrets", "packing", "chat")
+MODULES = ("mpeg", "merkle", "linedup", "secrets", "packing", "chat")
 
 
 def _gather(what: str) -> dict:
