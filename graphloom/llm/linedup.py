@@ -63,7 +63,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha, removed: array<struct<first, n>> of the chunks that go; documents that lose none are left out."""
     d = _bounds(_key(docs))
     multi = F.filter(F.transform("chunks", lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.when(c["n"] >= MIN_LINES, F.md5(_text(F.col("lines"), c))).alias("md5"))), lambda c: c["md5"].isNotNull())
-    hashes = materialize(d.select("doc_id", "text_sha", F.transform(multi, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.unhex(c["md5"]).alias("key"))).alias("chunks")).where(F.size("chunks") > 0), "line-chunks")
+    hashes = materialize(d.select("doc_id", "text_sha", F.transform(multi, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.unhex(c["md5"]).alias("key"))).alias("chunks")), "line-chunks")  # a filter here would be pushed down with the whole expression in it
     # equal rows are one document
     rows = hashes.distinct().select("doc_id", "text_sha", F.explode("chunks").alias("c")).select("doc_id", "text_sha", "c.*")
     again = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
@@ -72,7 +72,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _key(docs)
     c = texts.join(seen, texts.doc_id.eqNullSafe(seen.doc_id) & (texts.text_sha == seen.text_sha)).select(texts.doc_id, texts.text_sha, F.split("text", "\n").alias("lines"), "again")
     # lines stands outside the lambda as well, else the optimizer moves the split into it
-    c = c.where(F.size("lines") > 0).select("doc_id", "text_sha", F.explode(F.transform(F.when(F.size("lines") > 0, F.col("again")), lambda a: F.struct(a["first"].alias("first"), a["n"].alias("n"), _text(F.col("lines"), a).alias("chunk")))).alias("c")).select("doc_id", "text_sha", "c.*")
+    c = c.select("doc_id", "text_sha", F.explode(F.transform(F.when(F.size("lines") > 0, F.col("again")), lambda a: F.struct(a["first"].alias("first"), a["n"].alias("n"), _text(F.col("lines"), a).alias("chunk")))).alias("c")).select("doc_id", "text_sha", "c.*")
     c = materialize(c.distinct(), "line-candidates")
     first = c.groupBy("chunk").agg(F.min(F.struct("doc_id", "text_sha", "first")).alias("origin"))
     later = c.join(first, "chunk").where(~F.struct("doc_id", "text_sha", "first").eqNullSafe(F.col("origin")))
