@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mpeg", "merkle", "linedup", "secrets", "simhash", "packing", "chat")
+MODULES = ("mpeg", "repeats", "merkle", "linedup", "secrets", "simhash", "packing", "chat")
 
 
 def _gather(what: str) -> dict:
