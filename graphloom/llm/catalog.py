@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mpeg", "repeats", "merkle", "linedup", "secrets", "simhash", "packing", "langid", "chat")
+MODULES = ("mpeg", "repeats", "merkle", "linedup", "secrets", "simhash", "packing", "langid", "pieces", "chat")
 
 
 def _gather(what: str) -> dict:

@@ -101,6 +101,34 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def one(t: str | None, found) -> str | None:
+        if t is None or found is None or not len(found):
+            return t
+        out, at = [], 0
+        for s in sorted(found, key=lambda s: (s["start"], -s["stop"])):
+            if s["start"] >= at:
+                out += [t[at : s["start"]], f"[{s['kind']} removed]"]
+            at = max(at, s["stop"])
+        return "".join([*out, t[at:]])
+
+    return pd.Series([one(t, f) for t, f in zip(text, spans)], dtype=object)
+
+
+def redact(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """docs with the spans that look live replaced by [kind removed]; overlapping spans go together, under the name of the first."""
+    r = scan(docs, owner, repo, max_owners)
+    live = r.select("doc_id", "text_sha", F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("live"))
+    live = live.where(F.size("live") > 0).distinct()
+    d = docs.withColumn("text_sha", F.xxhash64("text"))
+    j = d.join(live, d.doc_id.eqNullSafe(live.doc_id) & (d.text_sha == live.text_sha), "left").select(*[d[c] for c in docs.columns], "live")
+    # only texts that change pass through Python
+    same = j.where("live IS NULL").select(docs.columns)
+    text = F.pandas_udf(_redacted, "string")("text", "live")
+    changed = j.where("live IS NOT NULL").select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return same.unionByName(changed)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner: the source; repository: the documents of one language in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
