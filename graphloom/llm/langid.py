@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import small_batches, table
 
@@ -275,7 +276,8 @@ def predict_texts(model: Model, texts: list[str | None]) -> list[tuple]:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs, which must have text, and those of PREDICTED."""
+    """The columns of docs, which must have text, and those of PREDICTED, which take the place of columns with their names."""
+    docs = docs.drop(*[x.split()[0] for x in PREDICTED.split(", ")])
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
@@ -287,7 +289,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             rows = predict_texts(shared.value, b.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], [*b.schema.names, *names])
 
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for x in PREDICTED.split(", "):
         schema = schema.add(*x.split())
     return docs.mapInArrow(run, schema)

@@ -94,12 +94,12 @@ def _kept(lines: Column, removed: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text replaced, and removed: array<struct<first, n>> (null: nothing removed)."""
-    r = repeats(docs)
-    d = docs.withColumn("text_sha", F.xxhash64("text"))
-    j = d.join(r, d.doc_id.eqNullSafe(r.doc_id) & (d.text_sha == r.text_sha), "left").select(*[d[c] for c in docs.columns], "removed")
-    j = j.withColumn("lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n")))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_kept(F.col("lines"), F.col("removed")))
+    """docs with text replaced, and removed: array<struct<first, n>> (null: nothing removed), which takes the place of a column of that name."""
+    docs = docs.drop("removed")
+    r = repeats(docs).select(F.col("doc_id").alias("_gl_id"), F.col("text_sha").alias("_gl_sha"), "removed")
+    j = docs.join(r, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.xxhash64("text") == F.col("_gl_sha")), "left").drop("_gl_id", "_gl_sha")
+    j = j.withColumn("_gl_lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n")))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_kept(F.col("_gl_lines"), F.col("removed")))
     return j.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], "removed")
 
 

@@ -119,13 +119,12 @@ def redact(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_O
     """docs with the spans that look live replaced by [kind removed]; overlapping spans go together, under the name of the first."""
     r = scan(docs, owner, repo, max_owners)
     live = r.select("doc_id", "text_sha", F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("live"))
-    live = live.where(F.size("live") > 0).distinct()
-    d = docs.withColumn("text_sha", F.xxhash64("text"))
-    j = d.join(live, d.doc_id.eqNullSafe(live.doc_id) & (d.text_sha == live.text_sha), "left").select(*[d[c] for c in docs.columns], "live")
+    live = live.where(F.size("live") > 0).distinct().select(F.col("doc_id").alias("_gl_id"), F.col("text_sha").alias("_gl_sha"), F.col("live").alias("_gl_live"))
+    j = docs.join(live, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.xxhash64("text") == F.col("_gl_sha")), "left")
     # only texts that change pass through Python
-    same = j.where("live IS NULL").select(docs.columns)
-    text = F.pandas_udf(_redacted, "string")("text", "live")
-    changed = j.where("live IS NOT NULL").select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    same = j.where("_gl_live IS NULL").select(docs.columns)
+    text = F.pandas_udf(_redacted, "string")("text", "_gl_live")
+    changed = j.where("_gl_live IS NOT NULL").select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
     return same.unionByName(changed)
 
 

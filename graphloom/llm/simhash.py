@@ -167,9 +167,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: i
 def keep_one(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows of docs whose document is the one of its class that stays: that with the smallest doc_id, then text hash. Null texts stay."""
     r = near_duplicates(docs, **limits)
-    chosen = r.where("text_sha IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_sha")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_sha").alias("k_sha"))
-    d = docs.withColumn("text_sha", F.xxhash64("text"))
-    kept = d.join(chosen, d.doc_id.eqNullSafe(F.col("k_id")) & (F.col("text_sha") == F.col("k_sha")) & F.col("text").isNotNull(), "left_semi").select(docs.columns)
+    chosen = r.where("text_sha IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_sha")).alias("k")).select(F.col("k.doc_id").alias("_gl_id"), F.col("k.text_sha").alias("_gl_sha"))
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.xxhash64("text") == F.col("_gl_sha")) & F.col("text").isNotNull(), "left_semi")
     return kept.unionByName(docs.where("text IS NULL"))
 
 
