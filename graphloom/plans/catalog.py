@@ -2,10 +2,474 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths as P
+from graphloom.functions import text as X
+from graphloom.operators import chains as C
+from graphloom.operators import compare as K
+from graphloom.operators import filters as R
+from graphloom.operators import legacy as L
+from graphloom.operators import metrics as M
+from graphloom.operators.resolve import candidates, exact_index, resolve_calls, resolved
+from graphloom.plans.projections import (
+    CALL_ORD, SQL_EVENT, SQL_FILE, SQL_GEO, SQL_ORDER, SQL_PAGE, SQL_RAW, SQL_RES, SQL_SYM, event_edges, geo_classes, order_edges, order_files, page_paths, part_calls, part_symbols, sql_walk, table,
+)
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return resolved(part_calls(s, d), part_symbols(s, d))
+
+
+def _modules(s: SparkSession, d: str) -> DataFrame:
+    return part_symbols(s, d).select("file_path").distinct()
+
+
+def _text(c) -> F.Column:
+    return F.array_join(c, ">")
+
+
+# sources and filters
+
+
+@query(f"WITH {SQL_PAGE} SELECT DISTINCT CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'h' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'java' THEN 'java' END AS language FROM pg WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE 'build/%' AND path NOT LIKE '%.txt'")
+def language_detect(s, d):
+    p = page_paths(s, d).where(~P.in_skipped_dir(F.col("path")))
+    return p.select(P.language_of(F.col("path")).alias("language")).where("language IS NOT NULL").distinct()
+
+
+@query(f"WITH {SQL_PAGE} SELECT page_id, path, regexp_matches(path, '\\.(py|js|go|rs|h|cpp|java)$') AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE 'build/%' AS kept FROM pg")
+def file_discovery(s, d):
+    return page_paths(s, d).select("page_id", "path", R.discovered(F.col("path")).alias("kept"))
+
+
+@query(f"WITH {SQL_PAGE} SELECT page_id, (path LIKE '%/node_modules/%' OR path LIKE 'build/%') AS pruned FROM pg")
+def dir_prune(s, d):
+    return page_paths(s, d).select("page_id", P.in_skipped_dir(F.col("path")).alias("pruned"))
+
+
+@query(f"WITH {SQL_PAGE} SELECT page_id, NOT (regexp_matches(path, '(?s)^.*/en/.*\\.py$') OR path = 'src' OR path LIKE 'src/%' OR path LIKE 'lib/%' OR path = 'src/core' OR regexp_matches(path, '^lib/.*$')) AS keep FROM pg")
+def exclude_globs(s, d):
+    return page_paths(s, d).select("page_id", (~P.excluded(F.col("path"), ["*/en/*.py", "src", "lib/**", "src/core"])).alias("keep"))
+
+
+@query(f"WITH {SQL_PAGE} SELECT page_id, path LIKE 'src/%' AS keep, starts_with(path, 'src') AS keep_prefix FROM pg")
+def restrict_dir(s, d):
+    return page_paths(s, d).select("page_id", P.within(F.col("path"), "src").alias("keep"), F.col("path").startswith("src").alias("keep_prefix"))
+
+
+@query("SELECT p_brand || '.' || p_type || '.' || p_name || '_' || p_partkey AS qname FROM part WHERE p_type = 'PROMO' AND (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring'))")
+def report_filter(s, d):
+    rows = part_symbols(s, d)
+    return R.report_search(rows, ["name", "file_path"], "RING", equals={"class_name": "PROMO"}).select("qname")
+
+
+@query("WITH s AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'a.' || p_type || '_x' WHEN 2 THEN 'func(' || p_type WHEN 3 THEN 'a->' || p_type ELSE 'std::' || p_type || '<T>' END AS t FROM part) SELECT id, regexp_matches(t, '^[\\p{L}\\p{N}._]+$') AND NOT contains(t, 'func(') AS go_ok, regexp_matches(t, '^[\\p{L}\\p{N}:._<>&*]+$') AS rust_ok, NOT regexp_matches(t, '[\\n{()*]') AS c_ok, NOT regexp_matches(t, '[\\n{()]') AS cpp_ok FROM s")
+def callee_validity(s, d):
+    n, t = F.col("p_partkey") % 5, F.col("p_type")
+    stub = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("a."), t, F.lit("_x"))).when(n == 2, F.concat(F.lit("func("), t)).when(n == 3, F.concat(F.lit("a->"), t)).otherwise(F.concat(F.lit("std::"), t, F.lit("<T>")))
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), *[R.valid_callee(stub, lang).alias(f"{lang}_ok") for lang in ("go", "rust", "c", "cpp")])
+
+
+@query(f"WITH {SQL_SYM}, r AS (SELECT sym_ord, CASE sym_ord % 6 WHEN 0 THEN 'main' WHEN 1 THEN 'test_' || name WHEN 2 THEN '__' || cls || '__' WHEN 3 THEN 'Testing' WHEN 4 THEN name ELSE 'runner' END AS n, CASE WHEN sym_ord % 7 = 0 THEN 'app.Widget' ELSE 'cached' END AS dec FROM sym) SELECT sym_ord, n AS name, n IN ('main', 'run') OR regexp_matches(n, '^(test_|Test|bench_|Bench|example_|Example)') OR (starts_with(n, '__') AND ends_with(n, '__')) OR regexp_matches(lower(dec), 'route|endpoint|handler|api|get|post|put|delete') AS is_entry FROM r")
+def entrypoint_flags(s, d):
+    n = F.col("sym_ord") % 6
+    name = F.when(n == 0, "main").when(n == 1, F.concat(F.lit("test_"), "name")).when(n == 2, F.concat(F.lit("__"), "class_name", F.lit("__"))).when(n == 3, "Testing").when(n == 4, F.col("name")).otherwise("runner")
+    r = part_symbols(s, d).select("sym_ord", name.alias("name"), F.array(F.when(F.col("sym_ord") % 7 == 0, "app.Widget").otherwise("cached")).alias("decorators"))
+    return r.select("sym_ord", "name", M.is_entry_point(F.col("name"), F.col("decorators")).alias("is_entry"))
+
+
+# index and resolver
+
+
+@query(f"WITH {SQL_SYM} SELECT cls || '.' || name AS key, count(*) AS n, max(sym_ord) AS last_ord FROM sym GROUP BY 1")
+def symbol_index_exact(s, d):
+    """The exact index over qualified names that repeat: Class.name stands for the qualified name here."""
+    p = part_symbols(s, d).withColumn("qname", F.concat_ws(".", "class_name", "name"))
+    n = p.groupBy("qname").agg(F.count("*").alias("n"), F.max("sym_ord").alias("last_ord"))
+    return exact_index(p).join(n, "qname").select(F.col("qname").alias("key"), "n", "last_ord")
+
+
+@query(f"WITH {SQL_SYM}, c AS (SELECT name AS key, sym_ord, qname FROM sym UNION ALL SELECT cls || '.' || name, sym_ord, qname FROM sym) SELECT key, count(*) AS n, min(sym_ord) AS first_ord, arg_min(qname, sym_ord) AS first_qname FROM c GROUP BY key")
+def symbol_index_candidates(s, d):
+    c = candidates(part_symbols(s, d))
+    return c.groupBy("key").agg(F.count("*").alias("n"), F.min("sym_ord").alias("first_ord"), F.min_by("definition.qname", "sym_ord").alias("first_qname"))
+
+
+@query(f"WITH {SQL_RES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, stub, callee AS callee_qname, rule FROM res")
+def resolve_edges(s, d):
+    return resolve_calls(part_calls(s, d), part_symbols(s, d)).select(*CALL_ORD, "stub", "callee_qname", "rule")
+
+
+@query(f"WITH {SQL_RES} SELECT coalesce(rule, 'unresolved') AS rule, count(*) AS n FROM res GROUP BY 1")
+def resolve_rule_histogram(s, d):
+    r = resolve_calls(part_calls(s, d), part_symbols(s, d))
+    return r.groupBy(F.coalesce("rule", F.lit("unresolved")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_RES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, stub FROM res WHERE callee IS NULL")
+def unresolved_edges(s, d):
+    return resolve_calls(part_calls(s, d), part_symbols(s, d)).where("callee_qname IS NULL").select(*CALL_ORD, "stub")
+
+
+@query(f"WITH {SQL_RES} SELECT count(*) AS total, count(callee) AS resolved, count(*) - count(callee) AS unresolved FROM res")
+def edge_stats(s, d):
+    return L.edge_stats(resolve_calls(part_calls(s, d), part_symbols(s, d)))
+
+
+# metrics
+
+
+@query(f"WITH {SQL_RES}, m(metric, value) AS (SELECT 'total_files', count(DISTINCT file) FROM sym UNION ALL SELECT 'total_functions', count(*) FROM sym UNION ALL SELECT 'total_classes', count(DISTINCT cls) FROM sym UNION ALL SELECT 'total_edges', count(*) FROM edge) SELECT metric, value FROM m")
+def project_totals(s, d):
+    p = part_symbols(s, d)
+    return M.project_totals(_modules(s, d), p, p.select("class_name").distinct(), _edges(s, d))
+
+
+@query(f"WITH {SQL_RES} SELECT callee AS callee_qname, arg_max(callee_file, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS callee_file, count(*) AS calls FROM edge GROUP BY callee ORDER BY calls DESC, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) LIMIT 20")
+def hotspots_top20(s, d):
+    return M.hotspots(_edges(s, d))
+
+
+@query(f"WITH {SQL_SYM} SELECT qname, name, file AS file_path FROM sym WHERE sym_ord NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def dead_functions(s, d):
+    called = table(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("sym_ord")).distinct()
+    edges = part_symbols(s, d).join(called, "sym_ord").select(F.col("qname").alias("callee_qname"))
+    return M.dead_functions(part_symbols(s, d), edges).select("qname", "name", "file_path")
+
+
+_COUPLING = f"WITH {SQL_RES}, p AS (SELECT DISTINCT caller_file, callee_file FROM edge WHERE caller_file <> callee_file), c AS (SELECT f.file AS file_path, (SELECT count(*) FROM p WHERE p.callee_file = f.file) AS fan_in, (SELECT count(*) FROM p WHERE p.caller_file = f.file) AS fan_out FROM (SELECT DISTINCT file FROM sym) f)"
+
+
+@query(_COUPLING + " SELECT file_path, fan_in, fan_out, CASE WHEN fan_in + fan_out > 0 THEN fan_out::DOUBLE / (fan_in + fan_out) ELSE 0.0 END AS instability FROM c")
+def module_coupling(s, d):
+    return M.module_coupling(_modules(s, d), _edges(s, d))
+
+
+@query(_COUPLING + " SELECT file_path, fan_in, fan_out FROM c ORDER BY CASE WHEN fan_in + fan_out > 0 THEN fan_out::DOUBLE / (fan_in + fan_out) ELSE 0.0 END DESC, file_path LIMIT 10")
+def top_unstable(s, d):
+    return M.module_coupling(_modules(s, d), _edges(s, d)).orderBy(F.desc("instability"), "file_path").limit(10).select("file_path", "fan_in", "fan_out")
+
+
+@query("WITH b(bucket, lo, hi) AS (VALUES ('low (1-5)', -1000000, 5), ('medium (6-10)', 6, 10), ('high (11-20)', 11, 20), ('very_high (21+)', 21, 1000000)) SELECT bucket, (SELECT count(*) FROM part WHERE p_size BETWEEN lo AND hi) AS n FROM b")
+def complexity_buckets(s, d):
+    return M.complexity_buckets(part_symbols(s, d))
+
+
+@query(f"WITH {SQL_RES} SELECT callee AS node, count(*) AS n FROM edge GROUP BY callee")
+def in_degree(s, d):
+    return M.in_degree(_edges(s, d))
+
+
+@query(f"WITH {SQL_GEO}, ks AS (SELECT qname AS parent FROM cl UNION SELECT parent FROM rb) SELECT parent, coalesce((SELECT string_agg(q, '>' ORDER BY q) FROM (SELECT DISTINCT qname AS q FROM rb WHERE rb.parent = ks.parent)), '') AS children FROM ks")
+def class_hierarchy(s, d):
+    return M.class_hierarchy(geo_classes(s, d)).select("parent", _text("children").alias("children"))
+
+
+@query(f"WITH {SQL_GEO} SELECT qname, base, parent AS base_qname FROM rb")
+def base_resolution(s, d):
+    return M.resolve_bases(geo_classes(s, d))
+
+
+_LINKS = "l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS link, generate_subscripts(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1), 1) - 1 AS pos FROM pages), i AS (SELECT page_id, pos, link, list_filter(string_split(link, '/'), lambda x: x <> '') AS names FROM l), u AS (SELECT DISTINCT page_id, unnest(string_split(regexp_replace(html, '<[^>]*>|[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')) AS w FROM pages)"
+
+
+@query(f"WITH {_LINKS}, n AS (SELECT page_id, pos, link, names, unnest(names) AS nm, generate_subscripts(names, 1) AS k FROM i), x AS (SELECT page_id, pos, link, string_agg(nm, '>' ORDER BY k) AS names FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.page_id = n.page_id AND u.w = n.nm) GROUP BY ALL) SELECT CAST(page_id AS VARCHAR) AS file_path, CAST(pos AS INTEGER) AS imp_ord, link AS module, names FROM x UNION ALL SELECT CAST(page_id AS VARCHAR), CAST(pos AS INTEGER), link, '' FROM i WHERE len(names) = 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.page_id = i.page_id AND u.w = string_split(string_split(link, '.')[-1], '/')[-1])")
+def unused_imports(s, d):
+    p = table(s, d, "pages").select(F.col("page_id").cast("string").alias("file_path"), "html")
+    links = p.select("file_path", F.posexplode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1))).alias("imp_ord", "module"))
+    imports = links.select("file_path", "imp_ord", "module", F.filter(F.split("module", "/"), lambda x: x != "").alias("names"), F.lit(None).cast("string").alias("alias"))
+    used = p.select("file_path", F.explode(F.split(F.regexp_replace("html", r"<[^>]*>|[^\p{L}\p{N}]+", " "), " ")).alias("name"))
+    return M.unused_imports(imports, used).select("file_path", "imp_ord", "module", _text("names").alias("names"))
+
+
+# chains and cycles
+
+
+@query(f"WITH {SQL_ORDER} SELECT node, rank FROM st")
+def chain_starts(s, d):
+    return C.starts(order_edges(s, d))
+
+
+def _chains(s: SparkSession, d: str, **kw) -> DataFrame:
+    return C.paths(order_edges(s, d), **kw)
+
+
+def _filed(s: SparkSession, d: str) -> DataFrame:
+    e = order_edges(s, d)
+    return C.with_files(C.paths(e, 6), order_files(C.graph_nodes(e)))
+
+
+_CH = f"WITH RECURSIVE {SQL_ORDER}, {sql_walk(depth=6)}, cf AS (SELECT path, ords, len(path) AS length, list_transform(path, lambda x: {SQL_FILE}) AS files FROM ch), cx AS (SELECT *, len(list_filter(range(1, len(files)), lambda i: files[i] <> files[i + 1])) AS transitions FROM cf)"
+_JOIN = lambda c: f"array_to_string({c}, '>')"
+
+
+@query(f"WITH RECURSIVE {SQL_ORDER}, {sql_walk(depth=6)} SELECT {_JOIN('path')} AS path, len(path) AS length FROM ch")
+def chains_dag(s, d):
+    return _chains(s, d, max_depth=6).select(_text("path").alias("path"), F.size("path").cast("long").alias("length"))
+
+
+@query(_CH + f" SELECT {_JOIN('path')} AS path, transitions FROM cx WHERE transitions > 3")
+def chains_cross_file(s, d):
+    return _filed(s, d).where("transitions > 3").select(_text("path").alias("path"), "transitions")
+
+
+@query(f"WITH RECURSIVE {SQL_ORDER}, {sql_walk(depth=6)} SELECT {_JOIN('path')} AS path FROM (SELECT path FROM ch ORDER BY ords LIMIT 50000)")
+def chains_capped(s, d):
+    return C.capped(_chains(s, d, max_depth=6)).select(_text("path").alias("path"))
+
+
+@query(_CH + " SELECT length, count(*) AS n FROM cx GROUP BY length")
+def chain_length_hist(s, d):
+    return C.length_histogram(_filed(s, d))
+
+
+@query(_CH + " SELECT transitions, count(*) AS n FROM cx GROUP BY transitions")
+def chain_cross_hist(s, d):
+    return C.transition_histogram(_filed(s, d))
+
+
+@query(_CH + f" SELECT {_JOIN('path')} AS path, length, transitions FROM cx ORDER BY transitions DESC, length DESC, ords LIMIT 1")
+def best_chain(s, d):
+    return C.best_chain(_filed(s, d)).select(_text("path").alias("path"), "length", "transitions")
+
+
+@query(_CH + f" SELECT {_JOIN('path')} AS path, array_to_string(list_sort(list_distinct(files)), '>') AS files FROM cx")
+def chain_files(s, d):
+    return _filed(s, d).select(_text("path").alias("path"), _text(C.files_involved(F.col("files"))).alias("files"))
+
+
+@query(f"WITH RECURSIVE {SQL_ORDER}, sc AS (SELECT caller AS node, min(ord) AS rank FROM e4 WHERE starts_with(caller, 'c') GROUP BY caller), {sql_walk('sc', depth=4)} SELECT {_JOIN('path')} AS path FROM ch")
+def chains_restricted(s, d):
+    """No root is in scope, so all callers in scope are starts."""
+    return _chains(s, d, max_depth=4, in_scope=F.col("node").startswith("c")).select(_text("path").alias("path"))
+
+
+_CYC_ADJ = f"{SQL_EVENT}, adj AS (SELECT src AS caller, dst AS callee, min(event_id) AS ord FROM ev WHERE dst IS NOT NULL GROUP BY src, dst), st AS (SELECT caller AS node, min(ord) AS rank FROM adj GROUP BY caller)"
+
+
+@query(f"WITH RECURSIVE {_CYC_ADJ}, {sql_walk(depth=4)} SELECT {_JOIN('path')} AS path FROM ch")
+def chains_cyclic_depth4(s, d):
+    return C.paths(event_edges(s, d), 4).select(_text("path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {_CYC_ADJ}, {sql_walk(depth=3, revisit=True)} SELECT {_JOIN('path')} AS path FROM ch")
+def legacy_entry_walk(s, d):
+    """Walks that may come back to a node."""
+    return C.paths(event_edges(s, d), 3, revisit=True).select(_text("path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {SQL_ORDER}, {sql_walk(depth=6)} SELECT {_JOIN('path')} AS path FROM ch")
+def chains_recursive_cte(s, d):
+    """The same chains by a recursive CTE."""
+    e = C.adjacency(order_edges(s, d)).select("caller", "callee", "leaf")
+    st = C.starts(order_edges(s, d))
+    return s.sql(
+        "WITH RECURSIVE w(path, last, leaf, n) MAX RECURSION LEVEL 8 AS (SELECT array(node), node, false, 1 FROM {st} UNION ALL "
+        "SELECT array_append(w.path, e.callee), e.callee, e.leaf, w.n + 1 FROM w JOIN {e} e ON e.caller = w.last WHERE w.n < 6 AND NOT array_contains(w.path, e.callee)) "
+        "SELECT array_join(path, '>') AS path FROM w WHERE leaf OR n = 6 LIMIT ALL",
+        st=st, e=e,
+    )
+
+
+@query(f"WITH RECURSIVE {SQL_EVENT}, c AS (SELECT [src] AS p, src AS first, src AS last FROM (SELECT DISTINCT src FROM pairs) UNION ALL SELECT list_append(p, dst), first, dst FROM c JOIN pairs ON src = last WHERE dst > first AND NOT list_contains(p, dst) AND len(p) < 5) SELECT {_JOIN('list_append(p, first)')} AS cycle FROM c JOIN pairs ON src = last AND dst = first WHERE len(p) > 1")
+def module_cycles(s, d):
+    return C.elementary_cycles(C.file_pairs(event_edges(s, d)), 5).select(_text(C.closed(F.col("cycle"))).alias("cycle"))
+
+
+@query(f"WITH {SQL_EVENT}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM pairs a JOIN pairs b ON a.dst = b.src JOIN pairs c ON b.dst = c.src AND c.dst = a.src WHERE a.src <> b.dst) SELECT DISTINCT CASE WHEN x < y AND x < z THEN x || '>' || y || '>' || z WHEN y < x AND y < z THEN y || '>' || z || '>' || x ELSE z || '>' || x || '>' || y END AS cycle FROM t")
+def cycle_normalise(s, d):
+    p = C.file_pairs(event_edges(s, d))
+    a, b, c = (p.select(F.col("src").alias(f"{x}1"), F.col("dst").alias(f"{x}2")) for x in "abc")
+    t = a.join(b, F.col("a2") == F.col("b1")).join(c, (F.col("b2") == F.col("c1")) & (F.col("c2") == F.col("a1"))).where("a1 <> b2")
+    return t.select(_text(C.normalized(F.array("a1", "a2", "b2"))).alias("cycle")).distinct()
+
+
+@query(_CH + f" SELECT {_JOIN('path')} AS path FROM cx WHERE files[1] = 'r' AND len(list_filter(files[2:], lambda f: f = 'r')) = 0 AND len(files) > 1")
+def legacy_chains_head_out(s, d):
+    f = F.transform("files", lambda x: F.when(x == "r", "src/r").otherwise(F.concat(F.lit("ext/"), x)))
+    return _filed(s, d).where(L.head_in_rest_out(f, "src")).select(_text("path").alias("path"))
+
+
+@query(_CH + f" SELECT {_JOIN('path')} AS path FROM cx WHERE len(list_filter(files, lambda f: f IN ('sales', 'c')))::DOUBLE / len(files) >= 0.6")
+def legacy_min_outside_ratio(s, d):
+    f = F.transform("files", lambda x: F.when(x.isin("sales", "c"), F.concat(F.lit("ext/"), x)).otherwise(F.concat(F.lit("src/"), x)))
+    return _filed(s, d).where(L.outside_ratio(f, "src") >= 0.6).select(_text("path").alias("path"))
+
+
+@query(_CH + f" SELECT {_JOIN('path')} AS path FROM cx WHERE files[-1] = 'parts'")
+def legacy_tail_outside(s, d):
+    f = F.transform("files", lambda x: F.when(x == "parts", F.concat(F.lit("ext/"), x)).otherwise(F.concat(F.lit("src/"), x)))
+    return _filed(s, d).where(L.tail_outside(f, "src")).select(_text("path").alias("path"))
+
+
+@query("WITH sp AS (SELECT p_brand AS file, p_size AS start, p_size + p_partkey % 40 AS stop, p_partkey AS id FROM part), q AS (SELECT DISTINCT p_brand AS file, CAST(l_linenumber * 9 AS INTEGER) AS line FROM lineitem JOIN part ON p_partkey = l_partkey), j AS (SELECT q.file, q.line, sp.start, sp.stop, sp.id, row_number() OVER (PARTITION BY q.file, q.line ORDER BY sp.start DESC, sp.stop, lpad(CAST(sp.id AS VARCHAR), 12, '0') DESC) AS n FROM q JOIN sp ON sp.file = q.file AND q.line BETWEEN sp.start AND sp.stop) SELECT q.file, q.line, lpad(CAST(j.id AS VARCHAR), 12, '0') AS qname FROM q LEFT JOIN j ON j.file = q.file AND j.line = q.line AND j.n = 1")
+def enclosing_function(s, d):
+    spans = table(s, d, "part").select(F.col("p_brand").alias("file"), F.col("p_size").alias("start"), (F.col("p_size") + F.col("p_partkey") % 40).alias("stop"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("qname"))
+    lines = table(s, d, "lineitem").join(table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("file"), (F.col("l_linenumber") * 9).alias("line")).distinct()
+    return L.enclosing_function(lines, spans)
+
+
+# cache, watch, compare
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "source", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+
+
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    """What an earlier run has seen: even documents, every tenth with another content."""
+    return _files(s, d).where("doc_id % 2 = 0").select("path", F.when(F.col("doc_id") % 10 == 0, "old").otherwise(F.col("sha256")).alias("sha256"))
+
+
+@query("SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0")
+def cache_hits(s, d):
+    return K.cache_split(_files(s, d), _cached(s, d))[0].select("path", "sha256")
+
+
+@query("SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0")
+def cache_misses(s, d):
+    return K.cache_split(_files(s, d), _cached(s, d))[1].select("path", "sha256")
+
+
+@query("SELECT source, sha256(string_agg(source || '/' || doc_id || ':' || sha256(text), chr(10) ORDER BY source || '/' || doc_id)) AS checksum FROM documents GROUP BY source")
+def tree_checksum(s, d):
+    return K.tree_checksum(_files(s, d), "source", "path", "sha256")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), h AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM h GROUP BY user_id, k")
+def debounce_sessions(s, d):
+    from graphloom.streaming.watch import debounced
+
+    return debounced(table(s, d, "events"), "30 minutes", "user_id").select("user_id", "started", "n")
+
+
+def _report(s: SparkSession, d: str, year: int) -> DataFrame:
+    o = table(s, d, "orders").where(F.year("o_orderdate") == year)
+    return o.groupBy(F.col("o_orderpriority").alias("case")).agg(
+        F.countDistinct("o_custkey").alias("files"), F.count("*").alias("functions"), F.count_if(F.col("o_orderstatus") == "F").alias("classes"),
+        F.count_if(F.col("o_orderstatus") == "O").alias("edges"), F.count_if(F.col("o_totalprice") > 100000).alias("chains"), F.lit(0).cast("long").alias("parse_errors"),
+        F.sum(F.floor("o_totalprice")).alias("total"),
+    )
+
+
+_REP = """rep AS (SELECT o_orderpriority AS "case", year(o_orderdate) AS y, count(DISTINCT o_custkey) AS files, count(*) AS functions, count(*) FILTER (o_orderstatus = 'F') AS classes, count(*) FILTER (o_orderstatus = 'O') AS edges, count(*) FILTER (o_totalprice > 100000) AS chains, CAST(sum(floor(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1, 2), b AS (SELECT * FROM rep WHERE y = 1997), c AS (SELECT * FROM rep WHERE y = 1998), j AS (SELECT "case", c.files - b.files AS delta_files, c.functions - b.functions AS delta_functions, c.classes - b.classes AS delta_classes, c.edges - b.edges AS delta_edges, c.chains - b.chains AS delta_chains, (c.total - b.total) / b.total::DOUBLE * 100 AS pct FROM b JOIN c USING ("case"))"""
+
+
+def _aligned(s: SparkSession, d: str) -> DataFrame:
+    return K.align(_report(s, d, 1997), _report(s, d, 1998))
+
+
+@query(f"""WITH {_REP} SELECT "case", 'both' AS side, CASE WHEN pct > 15 THEN 'regression' WHEN pct > 0 THEN 'within_threshold' WHEN pct < 0 THEN 'improvement' ELSE 'unchanged' END AS status FROM j""")
+def compare_status(s, d):
+    a = _aligned(s, d)
+    return a.select("case", "side", K.status(K.percent_change(F.col("base_total"), F.col("cand_total"))).alias("status"))
+
+
+@query(f'WITH {_REP} SELECT "case", delta_files, delta_functions, delta_classes, delta_edges, delta_chains, delta_files <> 0 OR delta_functions <> 0 OR delta_classes <> 0 OR delta_edges <> 0 OR delta_chains <> 0 AS drift FROM j')
+def summary_delta(s, d):
+    r = K.deltas(_aligned(s, d))
+    return r.select("case", *[f"delta_{c}" for c in K.COUNTERS[:5]], "drift")
+
+
+@query(f"""WITH {_REP}, x AS (SELECT "case", unnest(CASE WHEN delta_files = 0 AND delta_functions = 0 AND delta_classes = 0 AND delta_edges = 0 AND delta_chains = 0 THEN ['non_structural'] ELSE list_filter([CASE WHEN delta_files <> 0 THEN 'discovery' END, CASE WHEN delta_functions <> 0 OR delta_classes <> 0 THEN 'symbol_extraction' END, CASE WHEN delta_edges <> 0 THEN 'call_resolution' END, CASE WHEN delta_chains <> 0 THEN 'chain_enumeration' END], lambda v: v IS NOT NULL) END) AS bucket FROM j) SELECT bucket, string_agg("case", '>' ORDER BY "case") AS cases FROM x GROUP BY bucket""")
+def drift_attribution(s, d):
+    return K.attribution(K.deltas(_aligned(s, d))).select("bucket", _text("cases").alias("cases"))
+
+
+@query(f"""WITH {_REP} SELECT "case", abs(delta_functions) AS magnitude FROM j ORDER BY CASE WHEN pct > 15 THEN 0 WHEN pct > 0 THEN 1 WHEN pct < 0 THEN 2 ELSE 3 END, (delta_files <> 0)::INT + (delta_functions <> 0)::INT + (delta_classes <> 0)::INT + (delta_edges <> 0)::INT + (delta_chains <> 0)::INT DESC, abs(delta_functions) DESC, abs(pct) DESC, abs(delta_edges) DESC, "case" LIMIT 3""")
+def focus_top3(s, d):
+    r = K.deltas(_aligned(s, d))
+    pct = K.percent_change(F.col("base_total"), F.col("cand_total"))
+    st = K.status(pct)
+    rank = F.when(st == "regression", 0).when(st == "within_threshold", 1).when(st == "improvement", 2).otherwise(3)
+    n = sum((F.when(F.col(f"delta_{c}") != 0, 1).otherwise(0) for c in K.COUNTERS[1:5]), F.when(F.col("delta_files") != 0, 1).otherwise(0))
+    rows = r.select("case", rank.alias("status_rank"), n.alias("n_changed"), F.abs("delta_functions").alias("magnitude"), F.abs(pct).alias("abs_pct"), F.abs("delta_edges").alias("abs_delta"))
+    return K.focus(rows).select("case", "magnitude")
+
+
+@query("""SELECT o_orderpriority AS "case", min(floor(o_totalprice)) AS "min", median(floor(o_totalprice)) AS "median", max(floor(o_totalprice)) AS "max", CAST(avg(floor(o_totalprice)) * 1000 AS BIGINT) // 1000 AS mean_floor FROM orders GROUP BY 1""")
+def timing_summary(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderpriority").alias("case"), F.floor("o_totalprice").cast("double").alias("v"))
+    return K.timing_summary(o, "case", "v").select("case", "min", "median", "max", F.floor("mean").alias("mean_floor"))
+
+
+@query(f"""WITH {_REP} SELECT "case", l AS label, CASE l WHEN 'min_files' THEN files >= 200 WHEN 'min_functions' THEN functions >= 290 ELSE classes <= 110 END AS ok FROM c, (VALUES ('min_files'), ('min_functions'), ('max_classes')) t(l)""")
+def threshold_check(s, d):
+    return K.thresholds(_report(s, d, 1998), {"files": 200, "functions": 290}, {"classes": 110})
+
+
+_RULES = [("*", ("@all",)), ("/src/", ("@org/core", "@ann")), ("*.py", ("@py",)), ("lib/node_modules/", ("mail@x",))]
+_OWNED = f"{SQL_PAGE}, ow AS (SELECT page_id, path, CASE WHEN regexp_matches(path, '^lib/node_modules/') THEN ['mail@x'] WHEN regexp_matches(path, '\\.py$') THEN ['@py'] WHEN starts_with(path, 'src/') THEN ['@org/core', '@ann'] ELSE ['@all'] END AS owners, CASE WHEN starts_with(path, 'src/') THEN 8 WHEN starts_with(path, 'tests/') THEN 4 ELSE 1 END AS weight FROM pg), eo AS (SELECT path, weight, unnest(owners) AS owner FROM ow)"
+
+
+def _owned(s: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return page_paths(s, d).select("page_id", "path", K.owners_of(p, _RULES).alias("owners"), K.path_weight(p, [("^src/", 8), ("^tests/", 4)]).alias("weight"))
+
+
+@query(f"WITH {_OWNED} SELECT page_id, path, array_to_string(owners, '>') AS owners FROM ow")
+def codeowners_last_match(s, d):
+    return _owned(s, d).select("page_id", "path", _text("owners").alias("owners"))
+
+
+@query(f"WITH {_OWNED} SELECT owner, count(*) AS n_files, max(weight) AS max_weight, CAST(sum(weight) + count(*) AS BIGINT) AS score, CASE WHEN max(weight) >= 8 THEN 'critical' WHEN max(weight) >= 6 THEN 'high' WHEN max(weight) >= 4 THEN 'medium' ELSE 'low' END AS priority FROM eo GROUP BY owner")
+def owner_focus(s, d):
+    return K.owner_focus(_owned(s, d))
+
+
+@query(f"WITH {_OWNED}, k AS (SELECT DISTINCT owner, CASE WHEN regexp_matches(owner, '^@[^/@ ]+/[^/@ ]+$') THEN 'team' WHEN regexp_matches(owner, '^@[^/@ ]+$') THEN 'user' ELSE 'unsupported' END AS kind FROM eo) SELECT kind, string_agg(owner, '>' ORDER BY owner) AS names FROM k GROUP BY kind")
+def review_plan(s, d):
+    return K.review_plan(_owned(s, d).select(F.explode("owners").alias("owner"))).select("kind", _text("names").alias("names"))
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS b FROM orders) SELECT id, CASE WHEN b IS NULL THEN 'missing' WHEN b < '1998-06-01T00:00:00Z' THEN CASE WHEN id % 2 = 0 THEN 'allowed' ELSE 'pending' END ELSE 'current' END AS state FROM o")
+def baseline_state(s, d):
+    b = F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), K.baseline_state(b, F.lit("1998-06-01T00:00:00Z"), F.col("o_orderkey") % 2 == 0).alias("state"))
+
+
+# sinks
+
+
+@query(_CH + " SELECT '{\"length\":' || length || ',\"cross_file_transitions\":' || transitions || ',\"chain\":[' || array_to_string(list_transform(path, lambda x: '{\"name\":\"' || x || '\"}'), ',') || ']}' AS line FROM cx WHERE length = 4")
+def chains_jsonl(s, d):
+    c = _filed(s, d).where("length = 4")
+    return c.select(F.to_json(F.struct("length", F.col("transitions").alias("cross_file_transitions"), F.transform("path", lambda x: F.struct(x.alias("name"))).alias("chain"))).alias("line"))
+
+
+@query(f"WITH {SQL_ORDER}, f AS (SELECT caller, callee, ord FROM adj ORDER BY ord LIMIT 2000), n AS (SELECT caller AS node, min(ord * 2) AS o FROM f GROUP BY 1 UNION ALL SELECT callee, min(ord * 2 + 1) FROM f GROUP BY 1), m AS (SELECT node, min(o) AS o FROM n GROUP BY node) SELECT node, 'n' || (row_number() OVER (ORDER BY o) - 1) AS id FROM m")
+def dot_node_ids(s, d):
+    from graphloom.sinks.diagrams import DOT_EDGES, node_ids
+
+    a = C.adjacency(order_edges(s, d)).orderBy("edge_ord").limit(DOT_EDGES)
+    return node_ids(a, "n")
+
+
+@query("SELECT page_id, " + "replace(" * 10 + "url, '\"', '#quot;'), '''', '#apos;'), '<', '&lt;'), '>', '&gt;'), '(', '#40;'), ')', '#41;'), '[', '#91;'), ']', '#93;'), '{', '#123;'), '}', '#125;') AS label FROM pages")
+def mermaid_labels(s, d):
+    return table(s, d, "pages").select("page_id", X.mermaid_escape(F.col("url")).alias("label"))
