@@ -26,7 +26,7 @@ def dot_escape(c: Column) -> Column:
 
 def script_json(c: Column) -> Column:
     """JSON that can stand inside a script element."""
-    return _replaced(c, (("</", "<\\/"), ("<!--", "<\\!--"), (" ", "\\u2028"), (" ", "\\u2029")))
+    return _replaced(c, (("</", "<\\/"), ("<!--", "<\\u0021--"), (chr(0x2028), "\\u2028"), (chr(0x2029), "\\u2029")))
 
 
 def display_name(class_name: Column, name: Column) -> Column:
