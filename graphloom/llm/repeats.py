@@ -67,8 +67,8 @@ def _slide(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - n)], m[w - n :]) if w > n else m
 
 
-def sampled(b: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of the cover sample in b, whose windows with a PAD don't count."""
+def sampled(b: np.ndarray, h: np.ndarray, spans: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """Places of the cover sample in b, whose windows with a PAD, or outside the spans, don't count."""
     n = len(b) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -77,6 +77,11 @@ def sampled(b: np.ndarray, h: np.ndarray) -> np.ndarray:
     least = _slide(v, SPAN + 1)[:n]
     padded = np.concatenate(([0], np.cumsum(b == PAD, dtype=np.int32)))
     ok = padded[LENGTH:] == padded[:-LENGTH]
+    if spans is not None:
+        inside = np.zeros(n, bool)
+        for a, z in spans:
+            inside[a : max(a, z - LENGTH + 1)] = True
+        ok &= inside
     at = (least[ok] & low).astype(np.int64)
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
@@ -123,7 +128,7 @@ def sample_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             at += len(before) + len(part) + len(after) + len(gap)
         b = np.frombuffer(b"".join(parts), np.uint8)
         h = hashes(b)
-        p = sampled(b, h)
+        p = sampled(b, h, [x[1:] for x in starts])
         s = np.array([x[1] for x in starts])
         owner = np.searchsorted(np.array([x[0] for x in starts]), p, "right") - 1
         position = p - s[owner] + np.array([x[1] for x in block])[owner]
