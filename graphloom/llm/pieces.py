@@ -146,14 +146,14 @@ class Sampler:
         out = []
         w, longest = self.weights, self.longest
         for j in range(1, len(m) + 1):
-            edges = []
-            for i in range(max(0, j - longest), j):
+            edges = []  # the shortest piece first
+            for i in range(j - 1, max(0, j - longest) - 1, -1):
                 x = w.get(m[i:j])
                 if x is not None:
                     edges.append((x[0], i, (x[1],)))
-            if m[j - 1] not in w:
-                b = chunk[j - 1].encode("utf-8", "surrogatepass")
-                edges.append((self.byte_weight * len(b), j - 1, tuple(self.byte[x] for x in b)))
+                elif i == j - 1:
+                    b = chunk[i].encode("utf-8", "surrogatepass")
+                    edges.append((self.byte_weight * len(b), i, tuple(self.byte[x] for x in b)))
             out.append(edges)
         return out
 
