@@ -17,7 +17,7 @@ def debounced(events: DataFrame, gap: str = "1 second", *keys: str) -> DataFrame
     """keys, started, n: one row for each run of events without a gap; for a stream set a watermark first."""
     w = F.session_window("ts", gap)
     # a stream's session windows need a key
-    by = keys or (F.lit(0).alias("_all"),)
+    by = keys or (F.col("ts").isNull().alias("_all"),)
     return events.groupBy(w, *by).agg(F.count("*").alias("n")).select(*keys, F.col("session_window.start").alias("started"), "n")
 
 
