@@ -9,12 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: By application: the folder of this machine that stands in where none is set.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder of this machine only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return where.rstrip("/")
 
 
