@@ -74,72 +74,117 @@ def table_bits(n: int) -> int:
     return max(12, min(40, round(16 + 1.2 * math.log2(max(1, n) / 200_000))))
 
 
+def _masks(coordinates: list[int]) -> list[int]:
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [signed(sum(1 << c % 64 for c in coordinates if c // 64 == k)) for k in range(4)]
+
+
 def masks(coordinates: list[list[int]], name: str) -> Column:
     """A row for each set of sampled coordinates: its number, and the mask of each of a signature's longs."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [F.struct(F.lit(t).alias(name), *[F.lit(signed(sum(1 << c % 64 for c in cs if c // 64 == k))).cast("long").alias(f"m{k}") for k in range(4)]) for t, cs in enumerate(coordinates)]
+    rows = [F.struct(F.lit(t).alias(name), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(_masks(cs))]) for t, cs in enumerate(coordinates)]
     return F.explode(F.array(*rows)).alias("m")
 
 
-def sampled() -> Column:
-    """One long for the sampled bits of s0..s3 under the masks m; equal bits give equal values, and candidates are verified anyway."""
-    return F.xxhash64(*[F.col(f"s{k}").bitwiseAND(F.col(f"m.m{k}")) for k in range(4)])
+WORDS = ["s0", "s1", "s2", "s3"]
+
+
+def words_of(sig: Column) -> list[Column]:
+    return [F.get(sig, F.lit(k)).alias(w) for k, w in enumerate(WORDS)]
 
 
-def _pairs(cells: DataFrame, max_distance: int) -> DataFrame:
-    """Verified pairs within cells: rows (cell columns t, key, sub, rep, s0..s3)."""
-    on = ["t", "key", "sub"]
-    a = cells.select(*on, F.col("rep").alias("a"), *[F.col(f"s{k}").alias(f"a{k}") for k in range(4)])
-    b = cells.select(*on, F.col("rep").alias("b"), *[F.col(f"s{k}").alias(f"b{k}") for k in range(4)])
-    d = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    return a.hint("merge").join(b, on).where((F.col("a") < F.col("b")) & (d <= max_distance)).select("a", "b")
+def name_of(words: list[Column]) -> Column:
+    """64 bits that name a representative; all 256 are compared."""
+    return F.xxhash64(*words)
+
+
+def sampled(*salt: Column) -> Column:
+    """One long for the sampled bits of s0..s3 under the masks m, and the salt; equal bits give equal values, and candidates are verified anyway."""
+    return F.xxhash64(*[F.col(w).bitwiseAND(F.col(f"m.m{k}")) for k, w in enumerate(WORDS)], *salt)
+
+
+def _pairs(cells: DataFrame, max_distance: int, coordinates: list[list[int]]) -> DataFrame:
+    """Verified pairs within cells: rows (cell, t, split, flags, s0..s3).
+
+    A pair is given by the first table in which it shares a bucket that wasn't split, and only if there is none by each cell that it shares. So a link isn't
+    shuffled once a table; flags has a bit for each table in which a row's bucket was split. Both sides of the join keep the same columns, so one exchange serves both.
+    """
+    side = lambda x: cells.select("cell", *[F.col(c).alias(f"{x}_{c}") for c in ("t", "split", "flags", *WORDS)])
+    x = [F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")) for w in WORDS]
+    d = sum((F.bit_count(v) for v in x[1:]), F.bit_count(x[0]))
+    same = (F.col("a_t") == F.col("b_t")) & (F.col("a_split") == F.col("b_split"))
+    a, b = name_of([F.col(f"a_{w}") for w in WORDS]), name_of([F.col(f"b_{w}") for w in WORDS])
+    flags = F.col("a_flags").bitwiseOR(F.col("b_flags"))
+    near = side("a").hint("merge").join(side("b"), "cell").where((d <= max_distance) & same & (a < b))
+    near = near.select(F.col("a_t").alias("t"), F.col("a_split").alias("split"), flags.alias("flags"), a.alias("a"), b.alias("b"), *[v.alias(f"x{k}") for k, v in enumerate(x)])
+    first = F.lit(len(coordinates))
+    for t in reversed(range(len(coordinates))):
+        differ = None
+        for k, m in enumerate(_masks(coordinates[t])):
+            if m:
+                part = F.col(f"x{k}").bitwiseAND(F.lit(m).cast("long"))
+                differ = part if differ is None else differ.bitwiseOR(part)
+        first = F.when((differ == 0) & (F.col("flags").bitwiseAND(F.lit(1 << t).cast("long")) == 0), t).otherwise(first)
+    near = near.withColumn("first", first)
+    return near.where(F.when(F.col("split"), F.col("first") == len(coordinates)).otherwise(F.col("first") == F.col("t"))).select("a", "b")
 
 
 def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int = TABLES, cap: int = CAP, bits: int | None = None) -> DataFrame:
-    """Distinct pairs a < b of representatives (rep long, sig) within max_distance, from the sampled tables."""
+    """Distinct pairs a < b of representatives (by name_of their signatures) within max_distance, from the sampled tables. reps: sig."""
     rng = random.Random(2024)
     m = bits or table_bits(n)
     coordinates = [rng.sample(range(BITS), m) for _ in range(tables)]
     extra = [rng.sample(range(BITS), EXTRA) for _ in range(DRAWS)]
-    keyed = reps.select("rep", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(4)])
-    words = ["s0", "s1", "s2", "s3"]
-    rows = keyed.select("rep", *words, masks(coordinates, "t")).select(F.col("m.t").alias("t"), sampled().alias("key"), "rep", *words)
-    big = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("size")).where(F.col("size") > cap), "simhash-big")
-    cells = rows.withColumn("sub", F.lit(0).cast("long"))
-    if not big.isEmpty():
-        small = cells.join(big, ["t", "key"], "left_anti")
-        large = rows.join(big.select("t", "key"), ["t", "key"])
-        # the draw is in the sub-bucket's lowest bits
-        more = F.shiftleft(F.pmod(sampled(), F.lit(1 << 40)), 8) + F.col("m.draw") + 1
-        drawn = large.select("t", "key", "rep", *words, masks(extra, "draw")).select("t", "key", "rep", *words, more.alias("sub"))
-        dense = materialize(drawn.groupBy("t", "key", "sub").agg(F.count("*").alias("size")).where(F.col("size") > cap), "simhash-dense")
-        # a dense cell's rows fall into blocks; the cell of blocks i <= j has both, so each pair meets once or more
-        blocks = F.ceil(F.col("size") / cap).cast("long")
-        held = drawn.join(dense, ["t", "key", "sub"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-        held = held.select("t", "key", "rep", *words, (-F.abs(F.xxhash64("sub", pair))).alias("sub"))
-        names = ["t", "key", "sub", "rep", *words]
-        cells = small.select(names).unionByName(drawn.join(dense.select("t", "key", "sub"), ["t", "key", "sub"], "left_anti").select(names)).unionByName(held.select(names))
-    return _pairs(cells, max_distance).distinct()
-
-
-def components(pairs: DataFrame) -> DataFrame:
+    keyed = reps.select(*words_of(F.col("sig"))).withColumn("flags", F.lit(0).cast("long"))
+    out = ["cell", "t", "split", "flags", *WORDS]
+
+    def rows(of: DataFrame) -> DataFrame:
+        r = of.select("flags", *WORDS, masks(coordinates, "t"))
+        return r.select(sampled(F.col("m.t")).alias("cell"), F.col("m.t").alias("t"), F.lit(False).alias("split"), "flags", *WORDS)
+
+    big = materialize(rows(keyed).groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > cap).select("cell"), "simhash-big")
+    if big.isEmpty():
+        return _pairs(rows(keyed), max_distance, coordinates)  # each pair once
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t"))
+    large = materialize(rows(keyed).join(big, "cell"), "simhash-large")
+    flags = large.groupBy(*WORDS).agg(F.bit_or(own).alias("own"))
+    flagged = materialize(keyed.drop("flags").join(flags, WORDS, "left").select(F.coalesce("own", F.lit(0).cast("long")).alias("flags"), *WORDS), "simhash-flags")
+    small = rows(flagged).where(F.col("flags").bitwiseAND(own) == 0)
+    drawn = large.drop("flags").join(flags.withColumnRenamed("own", "flags"), WORDS)
+    drawn = drawn.select("cell", "t", "flags", *WORDS, masks(extra, "draw"))
+    drawn = drawn.select(sampled(F.col("cell"), F.col("m.draw")).alias("cell"), "t", F.lit(True).alias("split"), "flags", *WORDS)
+    dense = materialize(drawn.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > cap), "simhash-dense")
+    # a dense cell's rows fall into blocks; the cell of blocks i <= j has both, so each pair meets once or more
+    held = drawn.join(dense, "cell").withColumn("blocks", F.ceil(F.col("size") / cap).cast("long"))
+    held = held.withColumn("block", F.pmod(name_of([F.col(w) for w in WORDS]), F.col("blocks")))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = held.withColumn("cell", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")))
+    cells = small.select(out).unionByName(drawn.join(dense, "cell", "left_anti").select(out)).unionByName(held.select(out))
+    return _pairs(cells, max_distance, coordinates).distinct()
+
+
+def components(pairs: DataFrame, jumps: int = 3) -> DataFrame:
     """node, label: the smallest node of its connected component, for every node in pairs (a, b).
 
-    Each round a node takes the smallest label among its neighbours and itself, then the label of its label, so a chain halves a round.
-    Each round ends in a table in the shared folder.
+    Each round maps a node to the smallest of itself and its neighbours, that one to its own, a few times over, then puts labels in the place of nodes; edges within a label go, so dense
+    groups are gone after a round. Each round ends in tables in the shared folder.
     """
-    edges = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "components-labels")
+    edges = pairs.select("a", "b")
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialize(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "components-labels")
-        if new.where("was <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("up")), "components-up")
+        if up.isEmpty():
+            return labels if labels is not None else up.select("node", F.col("up").alias("label"))
+        for _ in range(jumps):
+            step = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            up = up.join(step, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
+        up = materialize(up, "components-up")
+        if labels is None:
+            labels = up.select("node", F.col("up").alias("label"))
+        else:
+            labels = materialize(labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "components-labels")
+        edges = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("la")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("lb")), "b")
+        edges = materialize(edges.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "components-edges")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, cap: int = CAP, bits: int | None = None) -> DataFrame:
@@ -148,10 +193,9 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: i
     spark = docs.sparkSession
     sigs = materialize(signatures(docs), "simhash-signatures")
     release(spark)
-    # a representative is numbered by hash of its signature; 64 bits name it, all 256 are compared
-    reps = materialize(sigs.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64("sig")), "simhash-reps")
+    reps = materialize(sigs.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", name_of(words_of(F.col("sig")))), "simhash-reps")
     n = reps.count()
-    pairs = materialize(links(reps.select("rep", "sig"), n, max_distance, tables, cap, bits), "simhash-links")
+    pairs = materialize(links(reps.select("sig"), n, max_distance, tables, cap, bits), "simhash-links")
     release(spark)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     labels = components(pairs)
