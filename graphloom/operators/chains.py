@@ -23,11 +23,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return e.join(callers, "callee", "left").select("caller", "callee", "edge_ord", F.coalesce("leaf", F.lit(True)).alias("leaf"))
 
 
-def starts(edges: DataFrame, in_scope: Column | None = None) -> DataFrame:
-    """node, rank (its first edge): callers that nothing calls, in scope; else all callers in scope; else all callers. in_scope is a condition on node."""
+def starts(edges: DataFrame, in_scope: Column | DataFrame | None = None) -> DataFrame:
+    """node, rank (its first edge): callers that nothing calls, in scope; else all callers in scope; else all callers. in_scope: a condition on node, or a table of nodes."""
     callers = edges.groupBy(F.col("caller").alias("node")).agg(F.min("edge_ord").alias("rank"))
     roots = callers.join(edges.select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
-    for tier in ([roots.where(in_scope), callers.where(in_scope)] if in_scope is not None else [roots]):
+    scoped = lambda df: df.join(in_scope.select("node").distinct(), "node", "left_semi") if isinstance(in_scope, DataFrame) else df.where(in_scope)
+    for tier in [scoped(roots), scoped(callers)] if in_scope is not None else [roots]:
         if not tier.isEmpty():
             return tier
     return callers

@@ -127,20 +127,16 @@ class Analysis:
 
     @cached_property
     def graph(self) -> DataFrame:
-        """caller, callee, edge_ord with edges numbered in order, for chains."""
-        from pyspark.sql import Window
-
-        n = self.edges.select("edge_ord", F.col("caller_qname").alias("caller"), F.col("callee_qname").alias("callee"), "caller_file", "callee_file")
-        return n.withColumn("edge_ord", F.row_number().over(Window.orderBy("edge_ord")).cast("long"))
+        """caller, callee, edge_ord (a struct that sorts in source order), for chains."""
+        return self.edges.select("edge_ord", F.col("caller_qname").alias("caller"), F.col("callee_qname").alias("callee"), "caller_file", "callee_file")
 
     def chains(self, max_depth: int = C.MAX_DEPTH, max_chains: int = C.MAX_CHAINS, only_cross_file: bool = False, restrict_dir: str | None = None) -> DataFrame:
         g = self.graph
         files = g.select(F.explode(F.array(F.struct(F.col("caller").alias("node"), F.col("caller_file").alias("file")), F.struct(F.col("callee").alias("node"), F.col("callee_file").alias("file")))).alias("n")).groupBy("n.node").agg(F.max("n.file").alias("file"))
-        scope, e = None, g
+        first = None
         if restrict_dir:
-            scoped = [r["node"] for r in files.where(F.col("file").startswith(restrict_dir)).select("node").collect()]
-            scope = F.col("node").isin(scoped)
-        c = C.with_files(C.paths(e, max_depth, scope), files)
+            first = C.starts(g, files.where(F.col("file").startswith(restrict_dir)))
+        c = C.with_files(C.paths(g, max_depth, from_nodes=first), files)
         if only_cross_file:
             c = c.where("transitions > 0")
         return C.capped(c, max_chains)
