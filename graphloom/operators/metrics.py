@@ -50,7 +50,7 @@ def complexity_buckets(symbols: DataFrame) -> DataFrame:
     """bucket, n: all four, also empty ones; every definition counts."""
     c = F.col("complexity")
     b = F.when(c <= 5, BUCKETS[0]).when(c <= 10, BUCKETS[1]).when(c <= 20, BUCKETS[2]).otherwise(BUCKETS[3])
-    all_ = symbols.sparkSession.createDataFrame([(x,) for x in BUCKETS], "bucket string")
+    all_ = symbols.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, BUCKETS))).alias("bucket"))
     return all_.join(symbols.groupBy(b.alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").na.fill(0, ["n"])
 
 
