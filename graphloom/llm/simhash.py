@@ -3,13 +3,13 @@
 DataFrame functions only. A text's features are its distinct words (lower case; if it has none, the text itself); its signature has 256 bits, each the majority over the
 features' hash bits. Two texts are linked if their signatures differ in at most ``MAX_DISTANCE`` bits.
 
-Candidates come from ``TABLES`` tables: each groups signatures by ``bits`` sampled coordinates (more bits for more signatures, so that the buckets of
-unlike texts stay small). A bucket of more than ``CAP`` signatures is split by additional sampled bits in ``DRAWS`` draws; what is still larger then is
+Candidates come from tables: each groups signatures by ``bits`` sampled coordinates (more bits for more signatures, so that the buckets of
+unlike texts stay small), and there are as many as keep the recall (``table_count``), worked through in passes of at most ``PASS``, so the disk holds one pass. A bucket of more than ``CAP`` signatures is split by additional sampled bits in ``DRAWS`` draws; what is still larger then is
 dense, and is compared exactly, block against block, so no task holds it whole. Each candidate pair is verified on all 256 bits. Equal signatures are one
 representative, so copies are never expanded into pairs. Classes are the connected components of the links.
 
-Recall: a pair that differs in d of 256 bits is a candidate with probability 1 - (1 - (1 - d/256)^bits)^TABLES; at 16 bits and 40 tables that is 0.999 for d <= 27,
-0.98 for 36, 0.89 for 44. Tests measure it against all pairs.
+Recall: a pair that differs in d of 256 bits shares a bucket of one table with probability p = C(256 - d, bits) / C(256, bits), and is a candidate with probability
+1 - (1 - p)^tables. Tables are so many that this is at least ``RECALL`` for d = ``MAX_DISTANCE`` whatever the bits. Tests measure it against all pairs.
 
 Votes are summed in 16-bit lanes, 4 to a long, over parts of at most 60,000 features, then over the parts, so texts of any length are exact.
 
@@ -30,7 +30,8 @@ from graphloom.llm.common import materialize, release, table
 
 BITS, LANES = 256, 4
 MAX_DISTANCE = 46
-TABLES = 40
+RECALL = 0.98
+PASS = 48
 CAP, EXTRA, DRAWS = 400, 6, 8
 PART = 60_000
 SEEDS = (11, 23, 37, 53)
@@ -74,6 +75,17 @@ def table_bits(n: int) -> int:
     return max(12, min(40, round(16 + 1.2 * math.log2(max(1, n) / 200_000))))
 
 
+def found(d: int, bits: int) -> float:
+    """Probability that a table of sampled bits makes candidates of two signatures that differ in d bits."""
+    return math.comb(BITS - d, bits) / math.comb(BITS, bits)
+
+
+def table_count(bits: int, max_distance: int = MAX_DISTANCE) -> int:
+    """Tables that find a pair at max_distance with a probability of RECALL or more; nearer pairs are found more often."""
+    p = found(max_distance, bits)
+    return 1 if p >= RECALL else math.ceil(math.log(1 - RECALL) / math.log1p(-p))
+
+
 def _masks(coordinates: list[int]) -> list[int]:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return [signed(sum(1 << c % 64 for c in coordinates if c // 64 == k)) for k in range(4)]
@@ -128,12 +140,27 @@ def _pairs(cells: DataFrame, max_distance: int, coordinates: list[list[int]]) ->
     return near.where(F.when(F.col("split"), F.col("first") == len(coordinates)).otherwise(F.col("first") == F.col("t"))).select("a", "b")
 
 
-def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int = TABLES, cap: int = CAP, bits: int | None = None) -> DataFrame:
+def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
     """Distinct pairs a < b of representatives (by name_of their signatures) within max_distance, from the sampled tables. reps: sig."""
     rng = random.Random(2024)
     m = bits or table_bits(n)
+    tables = tables or table_count(m, max_distance)
     coordinates = [rng.sample(range(BITS), m) for _ in range(tables)]
     extra = [rng.sample(range(BITS), EXTRA) for _ in range(DRAWS)]
+    size = math.ceil(tables / math.ceil(tables / PASS))
+    parts = [coordinates[i : i + size] for i in range(0, tables, size)]
+    if len(parts) == 1:
+        return _pass(reps, coordinates, extra, max_distance, cap)
+    out = None
+    for part in parts:
+        pairs = materialize(_pass(reps, part, extra, max_distance, cap), "simhash-pass")
+        release(reps.sparkSession)  # the shuffle files of one pass go before the next
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+def _pass(reps: DataFrame, coordinates: list[list[int]], extra: list[list[int]], max_distance: int, cap: int) -> DataFrame:
+    """Distinct pairs of the tables of one pass."""
     keyed = reps.select(*words_of(F.col("sig"))).withColumn("flags", F.lit(0).cast("long"))
     out = ["cell", "t", "split", "flags", *WORDS]
 
@@ -187,7 +214,7 @@ def components(pairs: DataFrame, jumps: int = 3) -> DataFrame:
         edges = materialize(edges.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "components-edges")
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TABLES, cap: int = CAP, bits: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_sha (null for a null text), class_id (the smallest doc_id of the class), n_links (other signatures
     within max_distance), n_copies (rows' documents with the same signature, itself included)."""
     spark = docs.sparkSession

@@ -207,6 +207,27 @@ def test_signature_bits(spark):
                 assert (sig[k] >> b) & 1 == (2 * votes > len(words)), (k, b)
 
 
+def planted_links(spark, n, groups, **kw):
+    """Share of the pairs within MAX_DISTANCE, of signatures in groups, that links gives at the bits of n signatures."""
+    rng, bits = random.Random(9), range(simhash.BITS)
+    sigs = []
+    for size, radius in groups:
+        base = rng.getrandbits(simhash.BITS)
+        sigs += [base ^ sum(1 << c for c in rng.sample(bits, radius)) for _ in range(size)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [([signed(s >> 64 * k & (1 << 64) - 1) for k in range(4)],) for s in sigs]
+    words = np.array([r[0] for r in rows], np.int64)
+    want = sum(int((np.bitwise_count((words[i + 1 :] ^ words[i]).view(np.uint64)).sum(1) <= simhash.MAX_DISTANCE).sum()) for i in range(len(rows)))
+    return simhash.links(spark.createDataFrame(rows, "sig array<long>").repartition(4), n, **kw).count() / want
+
+
+def test_recall_holds_at_the_bits_of_many_signatures(spark):
+    assert planted_links(spark, 200_000, [(2, 23)] * 300) > 0.95
+    for n in (10_000, 200_000, 13_000_000):
+        bits = simhash.table_bits(n)
+        assert 1 - (1 - simhash.found(simhash.MAX_DISTANCE, bits)) ** simhash.table_count(bits) >= simhash.RECALL
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(35)]
