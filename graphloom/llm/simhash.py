@@ -8,8 +8,8 @@ unlike texts stay small), and there are as many as keep the recall (``table_coun
 dense, and is compared exactly, block against block, so no task holds it whole. Each candidate pair is verified on all 256 bits. Equal signatures are one
 representative, so copies are never expanded into pairs. Classes are the connected components of the links.
 
-Recall: a pair that differs in d of 256 bits shares a bucket of one table with probability p = C(256 - d, bits) / C(256, bits), and is a candidate with probability
-1 - (1 - p)^tables. Tables are so many that this is at least ``RECALL`` for d = ``MAX_DISTANCE`` whatever the bits. Tests measure it against all pairs.
+Recall: a pair that differs in d of 256 bits shares a bucket of one table with probability C(256 - d, bits) / C(256, bits), and if that is split, one of its cells with
+1 - (1 - C(256 - bits - d, 6) / C(256 - bits, 6))^8; each table draws its own additional bits. With p the product, it is a candidate with probability 1 - (1 - p)^tables or more. Tables are so many that this is at least ``RECALL`` for d = ``MAX_DISTANCE`` whatever the bits. Tests measure it against all pairs.
 
 Votes are summed in 16-bit lanes, 4 to a long, over parts of at most 60,000 features, then over the parts, so texts of any length are exact.
 
@@ -31,7 +31,7 @@ from graphloom.llm.common import materialize, release, table
 BITS, LANES = 256, 4
 MAX_DISTANCE = 46
 RECALL = 0.98
-PASS = 48
+PASS = 40
 CAP, EXTRA, DRAWS = 400, 6, 8
 PART = 60_000
 SEEDS = (11, 23, 37, 53)
@@ -76,8 +76,10 @@ def table_bits(n: int) -> int:
 
 
 def found(d: int, bits: int) -> float:
-    """Probability that a table of sampled bits makes candidates of two signatures that differ in d bits."""
-    return math.comb(BITS - d, bits) / math.comb(BITS, bits)
+    """Probability that a table of sampled bits makes candidates of two signatures that differ in d bits, also if it splits their bucket."""
+    rest = BITS - bits
+    split = 1 - (1 - math.comb(rest - d, EXTRA) / math.comb(rest, EXTRA)) ** DRAWS
+    return math.comb(BITS - d, bits) / math.comb(BITS, bits) * split
 
 
 def table_count(bits: int, max_distance: int = MAX_DISTANCE) -> int:
@@ -86,15 +88,25 @@ def table_count(bits: int, max_distance: int = MAX_DISTANCE) -> int:
     return 1 if p >= RECALL else math.ceil(math.log(1 - RECALL) / math.log1p(-p))
 
 
+def draws(bits: int, tables: int) -> tuple[list[list[int]], list[list[list[int]]]]:
+    """Sampled coordinates of each table, and of each table the draws that split its large buckets, from the other coordinates."""
+    rng = random.Random(2024)
+    coordinates = [rng.sample(range(BITS), bits) for _ in range(tables)]
+    return coordinates, [[rng.sample(sorted({*range(BITS)} - {*cs}), EXTRA) for _ in range(DRAWS)] for cs in coordinates]
+
+
 def _masks(coordinates: list[int]) -> list[int]:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return [signed(sum(1 << c % 64 for c in coordinates if c // 64 == k)) for k in range(4)]
 
 
+def mask_rows(coordinates: list[list[int]], name: str) -> list[Column]:
+    """Of each set of sampled coordinates: its number, and the mask of each of a signature's longs."""
+    return [F.struct(F.lit(t).alias(name), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(_masks(cs))]) for t, cs in enumerate(coordinates)]
+
+
 def masks(coordinates: list[list[int]], name: str) -> Column:
-    """A row for each set of sampled coordinates: its number, and the mask of each of a signature's longs."""
-    rows = [F.struct(F.lit(t).alias(name), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(_masks(cs))]) for t, cs in enumerate(coordinates)]
-    return F.explode(F.array(*rows)).alias("m")
+    return F.explode(F.array(*mask_rows(coordinates, name))).alias("m")
 
 
 WORDS = ["s0", "s1", "s2", "s3"]
@@ -142,25 +154,23 @@ def _pairs(cells: DataFrame, max_distance: int, coordinates: list[list[int]]) ->
 
 def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
     """Distinct pairs a < b of representatives (by name_of their signatures) within max_distance, from the sampled tables. reps: sig."""
-    rng = random.Random(2024)
     m = bits or table_bits(n)
     tables = tables or table_count(m, max_distance)
-    coordinates = [rng.sample(range(BITS), m) for _ in range(tables)]
-    extra = [rng.sample(range(BITS), EXTRA) for _ in range(DRAWS)]
+    coordinates, extra = draws(m, tables)
     size = math.ceil(tables / math.ceil(tables / PASS))
-    parts = [coordinates[i : i + size] for i in range(0, tables, size)]
+    parts = [(coordinates[i : i + size], extra[i : i + size]) for i in range(0, tables, size)]
     if len(parts) == 1:
         return _pass(reps, coordinates, extra, max_distance, cap)
     out = None
     for part in parts:
-        pairs = materialize(_pass(reps, part, extra, max_distance, cap), "simhash-pass")
+        pairs = materialize(_pass(reps, *part, max_distance, cap), "simhash-pass")
         release(reps.sparkSession)  # the shuffle files of one pass go before the next
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()
 
 
-def _pass(reps: DataFrame, coordinates: list[list[int]], extra: list[list[int]], max_distance: int, cap: int) -> DataFrame:
-    """Distinct pairs of the tables of one pass."""
+def _pass(reps: DataFrame, coordinates: list[list[int]], extra: list[list[list[int]]], max_distance: int, cap: int) -> DataFrame:
+    """Distinct pairs of the tables of one pass. extra: of each table the draws that split its large buckets."""
     keyed = reps.select(*words_of(F.col("sig"))).withColumn("flags", F.lit(0).cast("long"))
     out = ["cell", "t", "split", "flags", *WORDS]
 
@@ -177,7 +187,8 @@ def _pass(reps: DataFrame, coordinates: list[list[int]], extra: list[list[int]],
     flagged = materialize(keyed.drop("flags").join(flags, WORDS, "left").select(F.coalesce("own", F.lit(0).cast("long")).alias("flags"), *WORDS), "simhash-flags")
     small = rows(flagged).where(F.col("flags").bitwiseAND(own) == 0)
     drawn = large.drop("flags").join(flags.withColumnRenamed("own", "flags"), WORDS)
-    drawn = drawn.select("cell", "t", "flags", *WORDS, masks(extra, "draw"))
+    each = F.array(*[F.array(*mask_rows(x, "draw")) for x in extra])
+    drawn = drawn.select("cell", "t", "flags", *WORDS, F.explode(F.get(each, F.col("t"))).alias("m"))
     drawn = drawn.select(sampled(F.col("cell"), F.col("m.draw")).alias("cell"), "t", F.lit(True).alias("split"), "flags", *WORDS)
     dense = materialize(drawn.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > cap), "simhash-dense")
     # a dense cell's rows fall into blocks; the cell of blocks i <= j has both, so each pair meets once or more

@@ -228,6 +228,20 @@ def test_recall_holds_at_the_bits_of_many_signatures(spark):
         assert 1 - (1 - simhash.found(simhash.MAX_DISTANCE, bits)) ** simhash.table_count(bits) >= simhash.RECALL
 
 
+def test_split_buckets_keep_links():
+    """Recall of a group all of whose buckets are split, over the draws that the tables use."""
+    rng, bits = random.Random(9), range(simhash.BITS)
+    base = rng.getrandbits(simhash.BITS)
+    sigs = [base ^ sum(1 << c for c in rng.sample(bits, 23)) for _ in range(300)]
+    m = np.array([[s >> i & 1 for i in bits] for s in sigs], np.uint8)
+    differ = m[:, None] != m[None]
+    want = np.triu(differ.sum(2) <= simhash.MAX_DISTANCE, 1)
+    got = np.zeros_like(want)
+    for cs, extra in zip(*simhash.draws(12, simhash.table_count(12))):
+        got |= ~differ[:, :, cs].any(2) & np.any([~differ[:, :, x].any(2) for x in extra], 0)
+    assert (got & want).sum() / want.sum() > 0.985
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(35)]
