@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(secrets.redact(docs, F.col("source"), F.concat_ws("/", "source", "lang")))
+    return _counted(secrets.redact(docs, F.col("source"), F.concat_ws("/", "source", "lang"), secrets.EXAMPLE_OWNERS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 ``spans`` finds candidates in each text; ``ownership`` counts, for each candidate value, the distinct repositories and owners that hold it;
-``scan`` joins both: a value that few owners hold looks live, one that many hold is a copied example.
+``scan`` joins both: a value that few owners or few distinct texts hold looks live, one that many of both hold is a copied example. A document that is copied
+to other owners as it is stays one text.
 
 Kinds: assign, access and hex as the base rules have them, then those that this method adds: jwt (three base64url parts), pem (a private key
 block), vendor (ghp_, xox., sk_live_ and similar prefixes). A span is a match, in code points, its end exclusive; spans of one kind don't
@@ -33,8 +34,10 @@ JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 VENDOR = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})")
 WORDS = ("passw", "secret", "token", "api")
-#: A value that at most so many owners hold looks live.
+#: A value that at most so many owners, or so many distinct texts, hold looks live.
 MAX_OWNERS = 1
+#: The same for the query and the pipeline, where a copy of a document may have lost lines and be another text: an example has more owners and texts than a few copies have.
+EXAMPLE_OWNERS = 5
 
 
 def find(text: str | None) -> list[tuple[int, int, int, str]]:
@@ -70,12 +73,13 @@ def spans_of(text: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(value_sha256, owner, repo) rows, repeated as they may be -> value_sha256, n_owners, n_repos."""
+    """(value_sha256, text_sha, owner, repo) rows, repeated as they may be -> value_sha256, n_owners, n_repos, n_texts."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     d = candidates.select("value_sha256", key("owner").alias("owner"), key("repo").alias("repo")).distinct()
     owners = d.select("value_sha256", "owner").distinct().groupBy("value_sha256").agg(F.count("*").alias("n_owners"))
     repos = d.select("value_sha256", "repo").distinct().groupBy("value_sha256").agg(F.count("*").alias("n_repos"))
-    return owners.join(repos, "value_sha256")
+    texts = candidates.select("value_sha256", "text_sha").distinct().groupBy("value_sha256").agg(F.count("*").alias("n_texts"))
+    return owners.join(repos, "value_sha256").join(texts, "value_sha256")
 
 
 def scan(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -88,11 +92,11 @@ def scan(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_OWN
     # the count of each value goes back to its documents; equal rows come together by their key
     one = each.select("doc_id", "text_sha", "kind", "start", "stop", "value_sha256").distinct().join(counts, "value_sha256")
     per_doc = one.groupBy("doc_id", "text_sha").agg(
-        F.sort_array(F.collect_list(F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place"), "kind", "stop", "value_sha256", "n_owners", "n_repos"))).alias("judged")
+        F.sort_array(F.collect_list(F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place"), "kind", "stop", "value_sha256", "n_owners", "n_repos", "n_texts"))).alias("judged")
     )
     base = found.select("doc_id", "text_sha", "spans")
     r = base.join(per_doc, base.doc_id.eqNullSafe(per_doc.doc_id) & (base.text_sha == per_doc.text_sha), "left").select(base.doc_id, base.text_sha, "judged")
-    judged = F.transform("judged", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value_sha256"].alias("value_sha256"), s["n_owners"].alias("n_owners"), s["n_repos"].alias("n_repos"), (s["n_owners"] <= max_owners).alias("live")))
+    judged = F.transform("judged", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value_sha256"].alias("value_sha256"), s["n_owners"].alias("n_owners"), s["n_repos"].alias("n_repos"), (F.least(s["n_owners"], s["n_texts"]) <= max_owners).alias("live")))
     r = r.select("doc_id", "text_sha", judged.alias("spans"))
     return r.withColumn("spans", F.coalesce("spans", F.from_json(F.lit("[]"), r.schema["spans"].dataType)))
 
@@ -131,7 +135,7 @@ def redact(docs: DataFrame, owner: Column, repo: Column, max_owners: int = MAX_O
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner: the source; repository: the documents of one language in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    r = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+    r = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"), EXAMPLE_OWNERS)
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")

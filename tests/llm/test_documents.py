@@ -136,6 +136,19 @@ def test_ownership(spark):
     assert secrets.scan(df.limit(0), F.col("owner"), F.col("repo")).count() == 0
 
 
+def test_copies_of_a_document_are_not_examples(spark):
+    """A value in copies of one document at two owners is live, in the pipeline also if a copy has lost lines."""
+    import corpus_pipeline
+
+    copy, cut, example = "a\npassword=aaaaaaaaaaaa", "password=bbbbbbbbbbbb", "password=cccccccccccc"
+    rows = [(1, copy, "s1"), (2, copy, "s2"), (3, "x\n" + cut, "s1"), (4, cut, "s2")] + [(10 + i, f"{i} {example}", f"s{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.lit(0).cast("long")})
+    live = {x.doc_id: x.spans[0].live for x in secrets.scan(df, F.col("source"), F.col("source")).collect()}
+    assert live[1] and live[2] and not live[3] and not live[10]
+    out = {x.doc_id: x.text for x in corpus_pipeline.secret_scan(spark, df, "").collect()}
+    assert out == {i: t if i >= 10 else t[: t.index("password")] + "[assign removed]" for i, t, _ in rows}
+
+
 # near dedup
 
 
