@@ -9,9 +9,13 @@ The language is that of the lowest cross-entropy per character. Its score is the
 smallest log loss on documents that the counts haven't seen. ``rejected``: no letter, a score below ``MIN_SCORE``, or a
 cross-entropy above ``SLACK`` times the worst of the calibration documents' 99.9 % - text of no language that was learned.
 
+Discounts are (n1 + 1/2) / (n1 + 2 n2 + 1) of the numbers n1, n2 of n-grams seen once and twice, kept within ``DISCOUNTS``: an order all of whose n-grams are frequent, as
+unigrams are in much text, still backs off, so each probability is above 0 and each entropy finite. A text is summed up by itself: its result doesn't depend on its batch.
+
 The model is fitted on a bounded sample of labelled rows: about ``TRAIN_DOCS`` whole documents of each language, chosen by a hash of doc_id, a
-fifth of them for calibration. At most ``MAX_GRAMS`` n-grams a language are kept (those that occur most), so what is broadcast is bounded: about 30 bytes an n-gram at
-four languages. Counts are summed by task before they are shuffled.
+fifth of them for calibration. Of an order at most ``MAX_GRAMS`` n-grams a language are stored, so what is broadcast is bounded: about 30 bytes an n-gram at
+four languages. The rest (those that occur least) counts for discounts and lower orders all the same, and its mass goes to the backoff, so probabilities still add up to 1. On
+the tables here no language comes near that number. Counts are summed by task before they are shuffled.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A label that is null teaches nothing. Without any labelled document all
 are ``und``. A null doc_id counts as the empty text for the held-out rule. Equal rows get equal results. Further columns pass through.
@@ -34,6 +38,7 @@ from graphloom.llm.common import small_batches, table
 ORDER = 4
 TRAIN_DOCS = 8192
 MAX_GRAMS = 1 << 18
+DISCOUNTS = (0.05, 0.95)
 MIN_SCORE = 0.5
 SLACK = 1.5
 UND = "und"
@@ -131,13 +136,23 @@ class Model:
             total[todo[has]] += self.b[i].values[ctx[has]]
         total[todo] -= math.log(VOCABULARY)
         ends = np.append(starts[1:] - (ORDER - 1), len(s))
-        sums = np.zeros((len(texts), len(self.langs)))
-        cum = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(total, 0, dtype=np.float64)))
-        sums = cum[ends] - cum[starts]
+        total = np.concatenate((total.astype(np.float64), np.zeros((1, len(self.langs)))))
+        sums = np.add.reduceat(total, np.stack([starts, ends], 1).ravel(), 0)[::2] * (ends > starts)[:, None]
         return -sums / np.maximum(1, ends - starts)[:, None], letters
 
 
-def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
+def discount(n: np.ndarray) -> float:
+    n1, n2 = int((n == 1).sum()), int((n == 2).sum())
+    return min(max((n1 + 0.5) / (n1 + 2 * n2 + 1), DISCOUNTS[0]), DISCOUNTS[1])
+
+
+def _stored(keys: np.ndarray, n: np.ndarray, most: int, suffixes: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Places of the n-grams to store: of those whose suffix is stored, the most frequent."""
+    at = np.flatnonzero(np.isin(suffixes, below))
+    return at if len(at) <= most else np.sort(at[np.lexsort((keys[at], -n[at]))[:most]])
+
+
+def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], max_grams: int = MAX_GRAMS) -> Model:
     """counts: n-grams of order ORDER and how often each language has them.
 
     Of each order all n-grams of any language get their final probability in every language, so scoring adds up no mixtures.
@@ -153,21 +168,25 @@ def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) ->
     tables_p, tables_b = [], []
     below_keys, below = np.zeros(1, np.uint64), np.full((1, len(langs)), 1 / VOCABULARY)
     for k in range(1, ORDER + 1):
-        u = np.unique(np.concatenate([own[k - 1][0] for own in levels])) if langs else np.zeros(0, np.uint64)
+        kept = [_stored(*own[k - 1], max_grams, low(own[k - 1][0], k - 1), below_keys) for own in levels]
+        u = np.unique(np.concatenate([own[k - 1][0][i] for own, i in zip(levels, kept)])) if langs else np.zeros(0, np.uint64)
         contexts = np.unique(u >> np.uint64(_BITS))
         p, gamma = np.zeros((len(u), len(langs))), np.ones((len(contexts), len(langs)))
-        for j, own in enumerate(levels):
+        for j, (own, i) in enumerate(zip(levels, kept)):
             keys, n = own[k - 1]
-            n1, n2 = (n == 1).sum(), (n == 2).sum()
-            d = min(0.95, n1 / (n1 + 2 * n2)) if n1 + n2 else 0.5
+            d = discount(n)
+            # of each context: all that follows it, also what isn't stored, whose mass the backoff gets
             c = np.searchsorted(contexts, keys >> np.uint64(_BITS))
-            total = np.bincount(c, n, len(contexts))
-            kinds = np.bincount(c, minlength=len(contexts))
+            has = contexts[np.minimum(c, len(contexts) - 1)] == keys >> np.uint64(_BITS)
+            total = np.bincount(c[has], n[has], len(contexts))
+            stored = np.bincount(c[i], n[i] - d, len(contexts))
             seen = total > 0
-            gamma[seen, j] = d * kinds[seen] / total[seen]
-            p[np.searchsorted(u, keys), j] = np.maximum(n - d, 0) / total[c]
+            gamma[seen, j] = 1 - stored[seen] / total[seen]
+            p[np.searchsorted(u, keys[i]), j] = (n[i] - d) / total[c[i]]
         lower = below[np.searchsorted(below_keys, low(u, k - 1))]
         p += gamma[np.searchsorted(contexts, u >> np.uint64(_BITS))] * lower
+        if not (np.isfinite(np.log(p)).all() and np.isfinite(np.log(gamma)).all()):
+            raise ArithmeticError(f"a probability of order {k} is 0")
         tables_p.append(Table(u, np.log(p)))
         tables_b.append(Table(contexts, np.log(gamma)))
         below_keys, below = u, p
@@ -227,12 +246,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAM
     for x in langs:
         own = lang == x
         g, k = gram[own].astype(np.uint64), n[own]
-        if len(g) > max_grams:
-            best = np.lexsort((g, -k))[:max_grams]
-            g, k = g[best], k[best]
         order = np.argsort(g)
         counts.append((g[order], k[order]))
-    model = kneser_ney(counts, langs)
+    model = kneser_ney(counts, langs, max_grams)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     c = other.select("lang", "text").mapInArrow(_entropy_partition(shared), "lang string, letters long, ce array<double>").where("letters > 0").toArrow()
     if len(c):
