@@ -88,34 +88,53 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """What bears loss, read from a rendered conversation by its spans alone: unescaped, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+
+
+#: What a logged turn goes through, by its role: (kind, part of the text). Parts: nothing, the first, second or last third, or what is given up later.
+STEPS = {
+    "assistant": (("open", "none"), ("delta", "draft"), ("regenerate", "none"), ("delta", "first"), ("delta", "second"), ("delta", "last")),
+    "other": (("open", "draft"), ("edit", "first"), ("delta", "second"), ("delta", "last")),
+}
+
+
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """A finished conversation table (conv_id, turn, role, text) as a log: each row opens a message and streams its text as one delta.
+    """A finished conversation table (conv_id, turn, role, text) as the log that an application would have written.
 
-    Rows of equal conv_id and turn are messages of their own, by role, then text.
+    An assistant's message streams a draft, is regenerated and streams its text in three deltas; another's is sent as a draft, then edited, and its text
+    comes in an edit and two deltas. A draft is the text's last two thirds. Rows of equal conv_id and turn are messages of their own, by role, then text.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("msg", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
-    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(("open", "delta"))])).alias("k")
-    t = t.select("conv_id", "msg", "role", "text", kinds)
-    return t.select("conv_id", "msg", (F.col("msg") * 2 + F.col("k.i")).alias("seq"), F.col("k.kind").alias("kind"), "role", F.when(F.col("k.kind") == "delta", F.col("text")).otherwise("").alias("text"))
+    third = F.ceil(F.char_length("text") / 3).cast("int")
+    t = t.withColumns({"first": F.substr("text", F.lit(1), third), "second": F.substr("text", third + 1, third), "last": F.substr("text", third * 2 + 1)})
+    part = {"none": F.lit(""), "draft": F.concat("second", "last"), "first": F.col("first"), "second": F.col("second"), "last": F.col("last")}
+    steps = {k: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), part[x].alias("text")) for i, (kind, x) in enumerate(v)]) for k, v in STEPS.items()}
+    t = t.select("conv_id", "msg", "role", F.explode(F.when(F.col("role") == "assistant", steps["assistant"]).otherwise(steps["other"])).alias("e"))
+    return t.select("conv_id", "msg", (F.col("msg") * 8 + F.col("e.i")).alias("seq"), "e.kind", "role", "e.text")
 
 
-def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    out = render(fold_events(events_of_turns(c.unionByName(probe))))
-    r = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.size("loss_spans").alias("n_loss"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+def digests(rendered: DataFrame) -> DataFrame:
+    """render()'s rows as op10 returns them: turns are read back from formatted, what bears loss is cut from it by loss_spans."""
+    r = rendered.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return r.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return digests(render(fold_events(events_of_turns(c.unionByName(probe)))))
+
+
 ORACLE = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -351,3 +351,32 @@ def test_chat_round_trip(spark):
     for c, t, role, text in sorted([*rows, rows[0]], key=lambda r: (r[0], r[1], (r[2] or "").encode(), (r[3] or "").encode())):
         want[c].append((role or "", text or ""))
     assert {x.conv_id: [(t.role, t.text) for t in x.t] for x in out.collect()} == want
+
+
+def test_chat_query_reads_the_mask(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(7)
+    al = ["<s>", "</s>[INST]", "[/ROLE]", "&amp;", "<", "[", "\n", "é", "x", " ", "🙂"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), None if rng.random() < 0.1 else "".join(rng.choice(al) for _ in range(rng.randint(0, 12)))) for c in range(20) for t in range(rng.randint(1, 6))]
+    rows += [(99, t, ("user", "assistant")[t % 2], f"{t} " + "long [text] " * 200) for t in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    by = defaultdict(list)
+    for c, t, role, text in [*rows, (-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]:
+        by[c].append((t, role or "", text or ""))
+    want = {}
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        want[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss))
+    got = chat.op10_chat_format(spark, str(tmp_path)).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
+    # the log has more than the final texts, and a broken mask shows
+    turns = spark.createDataFrame(rows[:20], "conv_id long, turn int, role string, text string")
+    log = chat.events_of_turns(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate"} and log.count() >= 80
+    out = chat.render(chat.fold_events(log))
+    off = out.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"))))
+    a, b = ({r.conv_id: (r.turns_sha256, r.loss_sha256) for r in chat.digests(x).collect()} for x in (out, off))
+    assert all(a[c][0] == b[c][0] for c in a) and any(a[c][1] != b[c][1] for c in a)
