@@ -2,10 +2,14 @@
 
 ``Packer`` opens one sequence at a time and places the example whose vector of sizes has the largest dot product with the room left (each
 dimension as a share of its limit) among those that fit; what room remains is filled with a piece cut from the example with the largest
-product. Examples longer than a sequence give whole sequences first. The last examples of a task are cut into sequences of 2^k
+product. Loss counts twice in the product, as tokens and as loss, so it is placed before prompts, which can always fill what room is left beside it. An example
+longer than half a sequence is held as parts of its prompt and of its response, each of which an empty sequence can take. The last examples of a task are cut into sequences of 2^k
 tokens, which need no padding.
 
-``tokenize`` and packing run in one pass over the scan's partitions: no text or token is shuffled, and a task holds ``BUFFER`` examples at
+Which tokens bear loss is a column (``loss_from``: so many ids before them don't). Without it, as in the query and the pipeline, an example is taken as a prompt and a
+response of equal length: ids from the place floor(n / 2) on bear loss, of n with the closing id. A sequence has at most ``MAX_LOSS`` of them.
+
+``tokenize`` and packing run in one pass over the scan's partitions: no text or token is shuffled, and a task holds ``BUFFER`` examples or ``HOLD`` ids at
 most, besides the one it reads. A task's sequences have ids of their own (its partition, then a counter), so a task that is run again gives the same rows.
 
 Defined results: a null text counts as empty, an empty text is the closing id alone; equal rows are examples of their own; a null doc_id is kept; further
@@ -23,17 +27,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches, table
 
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
-MAX_LOSS = 4096
+MAX_LOSS = 2560
 END_ID = 2
 #: Examples that a task holds to choose from.
 BUFFER = 512
+#: Ids of which a task places some as soon as it holds them.
+HOLD = 1 << 20
 #: Words whose ids are kept; two generations, so the older half goes when the younger is full.
 CACHE = 500_000
 
@@ -41,9 +47,15 @@ CACHE = 500_000
 class Words:
     """Ids of texts, as little-endian uint32 bytes, word by word with a bounded cache.
 
-    Spaces and newlines never are within a token of this tokenizer nor within anything it normalises, so ids of a text are those of its parts.
+    Spaces and newlines never are within a token of this tokenizer nor within anything it normalises, and it has no upper case, so ids of a text are those of its parts.
+    A tokenizer that encodes any of ``PROBES`` otherwise than whole is refused.
     """
 
+    PROBES = (
+        "Hello World hello", "ÉCOLE Naïve été", "a-b, c.d! (x) [y] {z}\nnew  line\tTab \n\n end", "don't DON'T o'clock", "<s> </s> [INST] ok", "日本語 テスト Ω ß ſ İ é", "x=1;y_2 #tag @me $5 % ^ & * ~ `q` \"r\"",
+        "  two  spaces", "1,234.56 --- ... !!", "Word.Word,word. A.B.", "\u00a0nbsp\u2009thin 🙂🙂x", "",
+    )
+
     MARKS = "!#$%&()*+,-./:;=?@[\\]^_`{}~\""  # apostrophes and what begins a special token are not among them
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -54,6 +66,9 @@ class Words:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        for t in self.PROBES:
+            if self.ids([t])[0] != array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes():
+                raise ValueError(f"{path} encodes {t!r} otherwise than word by word")
 
     def _resolve(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that aren't cached. A word of Latin letters, then marks, is two token groups, and lower case is that of its letters."""
@@ -104,78 +119,80 @@ def words(path: str) -> Words:
 
 
 class Packer:
-    """put() examples, then finish(); both yield pieces (key, start, length, sequence, offset, ids bytes, tokens of the example)."""
+    """put() examples, then finish(); both yield pieces (key, start, length, sequence, offset, ids bytes, tokens of the example, tokens that bear loss)."""
 
-    def __init__(self, first: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, buffer: int = BUFFER):
+    def __init__(self, first: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, buffer: int = BUFFER, hold: int = HOLD):
         self.limits = np.array([max_tokens, max_segments, max_loss], float)
-        self.max, self.sequence, self.buffer = min(max_tokens, max_loss), first, buffer
-        self.items: list[list] = []  # [key, ids, start, loss] of what is not placed yet; loss: of all its ids, those from there on bear loss
+        self.max, self.sequence, self.buffer, self.hold, self.held = max_tokens, first, buffer, hold, 0
+        self.items: list[list] = []  # [key, ids, start, end, loss_from] of what is not placed yet; ids of the example from loss_from on bear loss
 
     def put(self, key, ids: bytes, loss_from: int = 0) -> Iterator[tuple]:
-        n, at = len(ids) // 4, 0
-        while n - at >= self.max:
-            yield (key, at, self.max, self.sequence, 0, ids, n)
-            self.sequence += 1
-            at += self.max
-        if at < n:
-            self.items.append([key, ids, at, loss_from])
-        if len(self.items) >= self.buffer:
-            yield from self._fill(self.buffer // 2)
+        n = len(ids) // 4
+        loss_from = min(max(loss_from, 0), n)
+        cuts = [0, n] if n <= self.max // 2 else [*range(0, loss_from, self.max), *range(loss_from, n, int(min(self.limits[[0, 2]]))), n]
+        self.items += [[key, ids, a, z, loss_from] for a, z in zip(cuts, cuts[1:])]
+        self.held += n
+        if len(self.items) >= self.buffer or self.held > self.hold:
+            yield from self._fill(self.buffer // 2, self.hold // 2)
 
     def _sizes(self) -> np.ndarray:
-        n = np.array([[len(x[1]) // 4, x[2], x[3]] for x in self.items], float).reshape(-1, 3)
-        return np.stack([n[:, 0] - n[:, 1], np.ones(len(n)), n[:, 0] - np.maximum(n[:, 1], n[:, 2])], 1)
+        n = np.array([x[2:] for x in self.items], float).reshape(-1, 3)
+        return np.stack([n[:, 1] - n[:, 0], np.ones(len(n)), np.maximum(0, n[:, 1] - np.maximum(n[:, 0], n[:, 2]))], 1)
 
-    def _fill(self, keep: int) -> Iterator[tuple]:
-        """Whole sequences, as long as the tokens at hand fill one and more than keep examples wait."""
-        sizes = self._sizes()
+    def _fill(self, keep: int, hold: int) -> Iterator[tuple]:
+        """Whole sequences, as long as the tokens at hand fill one and more than keep examples, or more than hold tokens, wait."""
+        sizes, limits = self._sizes(), self.limits
         alive = np.ones(len(self.items), bool)
-        while alive.sum() > keep and sizes[alive, 0].sum() >= self.max:
-            room, offset = self.limits.copy(), 0
-            while room.min() >= 1 and alive.any():
+        many = len(self.items)
+        while (many > keep or self.held > hold) and self.held >= self.max:
+            room, offset = limits.copy(), 0
+            while room[0] >= 1 and room[1] >= 1:
+                weight = room / (limits * limits)
                 fits = alive & (sizes <= room).all(1)
-                score = (sizes / self.limits) @ (room / self.limits)
                 if fits.any() and (room[1] > 1 or sizes[fits, 0].max() >= room[0]):
-                    i = int(np.where(fits, score, -1).argmax())
+                    i = int(np.where(fits, sizes @ weight, -1).argmax())
                     n = int(sizes[i, 0])
                 else:  # the last room takes a piece of one that doesn't fit
-                    i = int(np.where(alive, score, -1).argmax())
-                    bare = max(0, self.items[i][3] - self.items[i][2])
-                    n = int(min(sizes[i, 0], room[0], room[2] + bare))
-                    if n < 1:
+                    able = alive if room[2] >= 1 else alive & (sizes[:, 0] > sizes[:, 2])
+                    if not able.any():
                         break
-                key, ids, start, loss_from = self.items[i]
-                yield (key, start, n, self.sequence, offset, ids, len(ids) // 4)
-                used = n - min(n, max(0, loss_from - start))
+                    i = int(np.where(able, np.minimum(sizes, limits) @ weight, -1).argmax())
+                    n = int(min(sizes[i, 0], room[0], room[2] + sizes[i, 0] - sizes[i, 2]))
+                item = self.items[i]
+                loss = n - min(n, max(0, item[4] - item[2]))
+                yield (item[0], item[2], n, self.sequence, offset, item[1], len(item[1]) // 4, loss)
                 offset += n
-                room -= (n, 1, used)
-                self.items[i][2] += n
-                sizes[i] -= (n, 0, used)
-                alive[i] = sizes[i, 0] > 0
+                room -= (n, 1, loss)
+                item[2] += n
+                self.held -= n
+                sizes[i] -= (n, 0, loss)
+                if sizes[i, 0] <= 0:
+                    alive[i] = False
+                    many -= 1
             self.sequence += 1
         self.items = [x for x, a in zip(self.items, alive) if a]
 
     def finish(self) -> Iterator[tuple]:
-        yield from self._fill(0)
-        left = int(self._sizes()[:, 0].sum())
+        yield from self._fill(0, 0)
+        left = self.held
         size, offset, segments = 0, 0, 0
-        for key, ids, start, _ in self.items:
-            n = len(ids) // 4
-            while start < n:
+        most = 1 << int(min(self.max, self.limits[2])).bit_length() - 1  # so many tokens are within each limit
+        for key, ids, start, end, loss_from in self.items:
+            while start < end:
                 if offset == size or segments == self.limits[1]:
                     self.sequence += bool(size)
-                    size, offset, segments = min(1 << left.bit_length() - 1, 1 << self.max.bit_length() - 1), 0, 0
-                k = min(n - start, size - offset)
-                yield (key, start, k, self.sequence, offset, ids, n)
+                    size, offset, segments = min(1 << left.bit_length() - 1, most), 0, 0
+                k = min(end - start, size - offset)
+                yield (key, start, k, self.sequence, offset, ids, len(ids) // 4, k - min(k, max(0, loss_from - start)))
                 start, offset, left, segments = start + k, offset + k, left - k, segments + 1
-        self.items = []
+        self.items, self.held = [], 0
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 def pack_partition(path: str, limits: dict):
-    """For mapInArrow over (doc_id, text)."""
+    """For mapInArrow over (doc_id, text, loss_from)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
@@ -183,21 +200,22 @@ def pack_partition(path: str, limits: dict):
         end = np.array([END_ID], "<u4").tobytes()
 
         def out(pieces) -> pa.RecordBatch:
-            rows = [(k, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)]), total, q, o) for k, s, n, q, o, ids, total in pieces]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], [x.split()[0] for x in PIECES.split(", ")])
+            rows = [(k, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)]), total, q, o, loss) for k, s, n, q, o, ids, total, loss in pieces]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], [x.split()[0] for x in PIECES.split(", ")])
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            yield out([p for key, ids in zip(keys, w.ids(texts)) for p in packer.put(key, ids + end)])
+            keys, texts, loss = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist()
+            yield out([p for key, ids, at in zip(keys, w.ids(texts), loss) for p in packer.put(key, ids + end, len(ids) // 4 + 1 >> 1 if at is None else at)])
         yield out(list(packer.finish()))
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, **limits: int) -> DataFrame:
-    """PIECES of each document: its tokenizer ids and the closing id, cut and placed."""
+def pack_documents(docs: DataFrame, tokenizer: str, loss_from: Column | None = None, **limits: int) -> DataFrame:
+    """PIECES of each document: its tokenizer ids and the closing id, cut and placed. loss_from: so many ids of a row bear no loss; where it is null, the first half doesn't."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack_partition(tokenizer, limits), PIECES)
+    at = F.lit(None) if loss_from is None else loss_from
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), at.cast("long").alias("loss_from")).mapInArrow(pack_partition(tokenizer, limits), PIECES)
 
 
 def default_tokenizer() -> str:

@@ -147,6 +147,34 @@ def test_packing(spark):
     rows = packing.pack_documents(df.repartition(2), packing.default_tokenizer()).collect()
     assert check_pieces(rows, texts, Tokenizer.from_file(packing.default_tokenizer())) < 0.01
     assert packing.pack_documents(df.limit(0), packing.default_tokenizer()).count() == 0
+    # a column says what bears loss; 'word ' * 9000 is loss throughout, so its sequences are short of other tokens
+    r = packing.pack_documents(df.withColumn("prompt", F.lit(0)), packing.default_tokenizer(), F.col("prompt")).collect()
+    assert all(x.loss_tokens == x.length for x in r)
+    with pytest.raises(ValueError):
+        packing.Words.PROBES, old = (*packing.Words.PROBES, "a b"), packing.Words.PROBES
+        w = packing.words(packing.default_tokenizer())
+        try:
+            w.__class__._resolve, keep = (lambda self, words: {x: b"" for x in words}), w.__class__._resolve
+            packing.Words(packing.default_tokenizer())
+        finally:
+            packing.Words._resolve, packing.Words.PROBES = keep, old
+
+
+def test_packing_query_limits(spark, tmp_path):
+    """All three limits, by brute force on the query's rows; the loss limit binds."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["word", "a", "paragraph", "é"]) for _ in range(rng.choice([3, 200, 900, 6000]))) for i in range(150)} | {500: None, 501: ""}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = packing.op7_packing(spark, str(tmp_path)).collect()
+    assert check_pieces(rows, texts, Tokenizer.from_file(packing.default_tokenizer())) < 0.01
+    loss = collections.Counter()
+    for r in rows:
+        own = r.length - min(r.length, max(0, r.doc_tokens // 2 - r.start))
+        assert r.loss_tokens == own
+        loss[r.sequence_id] += own
+    assert max(loss.values()) == packing.MAX_LOSS < packing.MAX_TOKENS
 
 
 def test_packer_limits():
@@ -158,7 +186,8 @@ def test_packer_limits():
         out += p.put(k, struct.pack(f"<{n}I", *range(n)), size[k][1])
     out += p.finish()
     by, total = collections.defaultdict(list), collections.Counter()
-    for k, start, n, seq, offset, _, _ in out:
+    for k, start, n, seq, _, _, _, loss in out:
+        assert loss == n - min(n, max(0, size[k][1] - start))
         by[seq].append((n, n - min(n, max(0, size[k][1] - start))))
         total[k] += n
     assert total == {k: n for k, (n, _) in size.items()}
