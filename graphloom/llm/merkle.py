@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
 
-DataFrame functions only. Paragraphs are the lines of a text; a phrase ends at a space behind a character that is neither letter nor digit; a
+DataFrame functions only. Paragraphs are the lines of a text; a phrase ends behind a space that follows a character that is neither letter nor digit, and keeps both, so the
+phrases of a paragraph joined are the paragraph, whatever characters it has; an empty paragraph is one empty phrase. A
 section ends behind a paragraph whose hash begins with 0 to 3, so that an edit moves no boundary but those beside it. A node's hash is that
 of its children's hashes. Equal roots mean equal texts; where roots differ, ``differing`` descends to the sections and paragraphs that do.
 
-Likeness is the Dice coefficient of the sets of phrase hashes: 1 for equal texts, 0 where no phrase is shared.
+Likeness is the Dice coefficient of the sets of the tree's leaves, the phrase hashes: 1 for equal texts, 0 where no phrase is shared.
 
 Defined results: a null text counts as empty, and an empty text is one empty paragraph. The next document is found by descending doc_id, a null one last; rows with
 equal doc_id follow by text; equal rows are documents of their own. With one row, a document is its own next. Further columns are ignored.
@@ -15,7 +16,7 @@ and within a range the next row is the one behind. The bounds of ranges are at m
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,21 +25,27 @@ from graphloom.llm.common import table, text_or_empty
 
 ROWS = 2000
 MAX_RANGES = 10_000
-MARK = "\x01"
+#: Phrases, in a syntax that Java and RE2 read alike.
+PHRASE = r"(?s).*?[^\p{L}\p{N}] |.+"
 
 
-def phrases(text: Column) -> Column:
-    """array<string> of the phrases of a paragraph."""
-    return F.split(F.regexp_replace(text, r"([^\p{L}\p{N}]) ", "$1" + MARK), MARK)
+def phrases(paragraph: Column) -> Column:
+    """array<string> of the phrases of a paragraph; joined, they are the paragraph."""
+    return F.when(paragraph == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(paragraph, F.lit(PHRASE), F.lit(0)))
 
 
-def leaves(text: Column) -> Column:
-    """Distinct phrase hashes of a text."""
-    return F.array_distinct(F.transform(F.split(F.regexp_replace(text, r"([^\p{L}\p{N}]) ", "$1\n"), "\n"), lambda x: F.substr(F.md5(x), F.lit(1), F.lit(16))))
+def phrase_hashes(text: Column) -> Column:
+    """array<array<string>>: of each paragraph of a text, its phrases' hashes."""
+    return F.transform(F.split(text, "\n"), lambda p: F.transform(phrases(p), lambda x: F.md5(x)))
 
 
-def paragraph_hashes(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda p: F.md5(F.array_join(F.transform(phrases(p), lambda x: F.md5(x)), "")))
+def leaves(hashes: Column) -> Column:
+    """Distinct leaves of a tree, from phrase_hashes."""
+    return F.array_distinct(F.flatten(hashes))
+
+
+def paragraph_hashes(hashes: Column) -> Column:
+    return F.transform(hashes, lambda p: F.md5(F.array_join(p, "")))
 
 
 def section_ends(hashes: Column) -> Column:
@@ -47,12 +54,6 @@ def section_ends(hashes: Column) -> Column:
     return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.substr(F.element_at(hashes, i), F.lit(1), F.lit(1)) < "4"))
 
 
-def tree(text: Column) -> Column:
-    """struct<paragraphs: array<string>, ends: array<int>> that root() and differing() take."""
-    h = paragraph_hashes(text)
-    return F.struct(h.alias("paragraphs"), section_ends(h).alias("ends"))
-
-
 def section_hashes(paragraphs: Column, ends: Column) -> Column:
     return F.transform(
         ends,
@@ -74,8 +75,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str = "") -> DataFrame:
-    """Adds {name}paragraphs, {name}ends, {name}sections and {name}fingerprint."""
-    df = df.withColumn(f"{name}paragraphs", paragraph_hashes(F.col(text)))
+    """Adds {name}phrases, {name}paragraphs, {name}ends, {name}sections and {name}fingerprint."""
+    df = df.withColumn(f"{name}phrases", phrase_hashes(F.col(text)))
+    df = df.withColumn(f"{name}paragraphs", paragraph_hashes(F.col(f"{name}phrases")))
     df = df.withColumn(f"{name}ends", section_ends(F.col(f"{name}paragraphs")))
     df = df.withColumn(f"{name}sections", section_hashes(F.col(f"{name}paragraphs"), F.col(f"{name}ends")))
     return df.withColumn(f"{name}fingerprint", root(F.col(f"{name}sections")))
@@ -99,8 +101,7 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     # a range's first row is its largest doc_id, then by text the smallest: it also stands behind the last row of the range above
     above = {r["part"]: tops[(i + 1) % len(tops)]["part"] for i, r in enumerate(tops)}
     known = dict((r["part"], r["top"]) for r in tops)
-    spark = docs.sparkSession
-    first = spark.createDataFrame([(p, known[p], above[p]) for p in known], "part int, top long, above int")
+    first = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(known[p]).cast("long").alias("top"), F.lit(above[p]).alias("above")) for p in known])))
     heads = d.join(F.broadcast(first), "part").where(F.col("doc_id").eqNullSafe(F.col("top")))
     heads = heads.groupBy("part", "above", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("above").alias("part"), F.lit(1).alias("ghost"))
     both = d.withColumn("ghost", F.lit(0)).unionByName(heads)
@@ -109,13 +110,15 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
 
 
 def _below(c: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below c: first the block of bounds, then its own, so a row is held against about 2 sqrt(n) of them and the plan has them as two arrays."""
     if not bounds:
         return F.lit(0)
-    b = F.array(*map(F.lit, bounds)) if len(bounds) < 3 else None
-    if b is not None:
-        return reduce(lambda x, y: x + y, [F.when(c > v, 1).otherwise(0) for v in bounds])
-    mid = len(bounds) // 2
-    return F.when(c > bounds[mid], F.lit(mid + 1) + _below(c, bounds[mid + 1 :])).otherwise(_below(c, bounds[:mid])).cast("int")
+    step = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    lits = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    at = F.size(F.filter(lits([x[-1] for x in blocks]), lambda v: v < c))  # whole blocks below c
+    own = F.size(F.filter(F.coalesce(F.get(F.array(*map(lits, blocks)), at), F.array().cast("array<bigint>")), lambda v: v < c))
+    return (at * step + own).cast("int") if len(bounds) % step == 0 else F.least(at * step + own, F.lit(len(bounds))).cast("int")
 
 
 def op3_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,21 +127,23 @@ def op3_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next_text", F.lit(1), half)))
     d = with_fingerprint(with_fingerprint(d, "text"), "edited", "edited_")
-    d = d.withColumn("l", leaves(F.col("text")))
+    d = d.withColumn("l", leaves(F.col("phrases")))
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("l"), leaves(F.col("edited"))).alias("near_edited"), likeness(F.col("l"), leaves(F.col("next_text"))).alias("near_next"),
+        likeness(F.col("l"), leaves(F.col("edited_phrases"))).alias("near_edited"), likeness(F.col("l"), leaves(phrase_hashes(F.col("next_text")))).alias("near_next"),
         F.size("sections").cast("long").alias("n_sections"), F.size(differing(F.col("edited_sections"), F.col("sections"))).cast("long").alias("n_sections_edited"),
     )
 
 
 def _sql_tree(text: str, name: str) -> str:
-    """CTEs {name}p, {name}s: paragraph hashes and the root of a column of table d."""
+    """CTEs {name}p to {name}l: phrase and paragraph hashes, section hashes and leaves of a column of table d."""
+    pattern = PHRASE.replace("'", "''")
     return f"""
-{name}p AS (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda p: md5(list_aggregate(list_transform(string_split(regexp_replace(p, '([^\\p{{L}}\\p{{N}}]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: md5(x)), 'string_agg', ''))) AS ps FROM d),
+{name}h AS (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda p: list_transform(CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '{pattern}') END, lambda x: md5(x))) AS hs FROM d),
+{name}p AS (SELECT doc_id, hs, list_transform(hs, lambda h: md5(list_aggregate(h, 'string_agg', ''))) AS ps FROM {name}h),
 {name}e AS (SELECT doc_id, ps, list_filter(range(1, len(ps) + 1), lambda i: i = len(ps) OR ps[i][1] < '4') AS es FROM {name}p),
 {name}s AS (SELECT doc_id, list_transform(range(1, len(es) + 1), lambda j: md5(list_aggregate(ps[(CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END) + 1 : es[j]], 'string_agg', ''))) AS ss FROM {name}e),
-{name}l AS (SELECT doc_id, list_distinct(list_transform(string_split(regexp_replace({text}, '([^\\p{{L}}\\p{{N}}]) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: substr(md5(x), 1, 16))) AS ls FROM d)"""
+{name}l AS (SELECT doc_id, list_distinct(flatten(hs)) AS ls FROM {name}h)"""
 
 
 ORACLE = f"""

@@ -32,7 +32,14 @@ def py_root(text):
 
 
 def phrases(p):
-    return re.sub(r"([^a-zA-Zé0-9]) ", "\\1\x01", p).split("\x01")
+    """Cut behind a space that follows what is neither letter nor digit, from left to right."""
+    out, first, i = [], 0, 1
+    while i < len(p):
+        if p[i] == " " and i > first and not p[i - 1].isalnum():
+            out.append(p[first : i + 1])
+            first = i + 1
+        i += 1
+    return [*out, p[first:]] if p[first:] or not out else out
 
 
 def test_merkle(spark):
@@ -49,10 +56,44 @@ def test_merkle(spark):
 def test_merkle_locates_edits(spark):
     a, b = "a. b. c.\nd. e.\nf.", "a. b. c.\nd. X.\nf."
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    r = df.select(merkle.differing(merkle.paragraph_hashes(F.col("b")), merkle.paragraph_hashes(F.col("a"))).alias("d"), merkle.likeness(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("l"), merkle.likeness(merkle.leaves(F.col("a")), merkle.leaves(F.col("a"))).alias("same")).first()
+    h = lambda c: merkle.phrase_hashes(F.col(c))
+    r = df.select(merkle.differing(merkle.paragraph_hashes(h("b")), merkle.paragraph_hashes(h("a"))).alias("d"), merkle.likeness(merkle.leaves(h("a")), merkle.leaves(h("b"))).alias("l"), merkle.likeness(merkle.leaves(h("a")), merkle.leaves(h("a"))).alias("same")).first()
     assert r.d == [1] and 0.7 < r.l < 1 and r.same == 1
 
 
+def test_unequal_texts_have_unequal_roots(spark):
+    """Also where they differ in control characters, separators and blanks only."""
+    rng = random.Random(11)
+    texts = {"a, b", "a,\x01b", "a,  b", "a,b", "", " ", "\n", "\n ", " \n", ". . ", ".  .", ". .\n"} | {"".join(rng.choice("a, \n\x01\x00.é") for _ in range(rng.randint(0, 9))) for _ in range(1500)}
+    d = frame(spark, list(enumerate(texts)))
+    r = merkle.with_fingerprint(d.withColumn("phrases", F.lit(1)), "text").collect()
+    assert len({x.fingerprint for x in r}) == len(texts) and all(x.fingerprint == py_root(x.text) and all(x.phrases) for x in r)
+
+
+def test_bounds_below(spark):
+    for n in (1, 2, 5, 16, 37):
+        bounds = sorted(random.Random(n).sample(range(100), n))
+        got = spark.range(-2, 102).select("id", merkle._below(F.col("id"), bounds).alias("k")).collect()
+        assert all(r.k == sum(b < r.id for b in bounds) for r in got)
+
+
+def test_fingerprint_query(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {i: None if i == 3 else "".join(rng.choice("ab. ,\n\x01é") for _ in range(rng.randint(0, 60))) for i in range(40)} | {90: "é. " * 5000}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(texts, reverse=True)
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    leaves = lambda t: {x for p in t.split("\n") for x in phrases(p)}
+    got = {r.doc_id: r for r in merkle.op3_merkle_fingerprint(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts)
+    for i, d in enumerate(order):
+        t, n = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(e.encode()).hexdigest(), py_root(t), py_root(e))
+        assert abs(r.near_edited - dice(leaves(t), leaves(e))) < 1e-12 and abs(r.near_next - dice(leaves(t), leaves(n))) < 1e-12
+
+
 # line dedup
 
 
