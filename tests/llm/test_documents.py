@@ -106,26 +106,26 @@ def py_chunks(text):
         for k in range(linedup.WINDOW):
             j = i - (linedup.WINDOW - 1 - k)
             roll = roll * 31 + (h[j] if j >= 0 else 0)
-        if i == len(lines) - 1 or (i + 1 >= linedup.WINDOW and roll % linedup.DIVISOR == 0):
-            out.append((first, lines[first : i + 1]))
+        if i == len(lines) - 1 or (i + 1 >= linedup.WINDOW and roll % linedup.JOINS != 0):
+            out.append((first, i + 1))
             first = i + 1
     return out
 
 
 def brute_lines(rows):
-    seen, out = {}, {}
+    seen, out = set(), {}
     for d, t in sorted(set(rows), key=lambda r: r[0]):
         if t is None:
             out[d] = None
             continue
-        kept = []
-        for first, lines in py_chunks(t):
-            body = "\n".join(lines)
-            if len(lines) >= linedup.MIN_LINES and body in seen:
-                continue
-            seen.setdefault(body, (d, first))
-            kept += lines
-        out[d] = "\n".join(kept)
+        lines, chunks, lost = t.split("\n"), py_chunks(t), set()
+        runs = [c for c in chunks if c[1] - c[0] > 1] + [(a[0], b[1]) for a, b in zip(chunks, chunks[1:])]
+        for a, z in sorted(runs):
+            run = "\n".join(lines[a:z])
+            if run in seen:
+                lost |= set(range(a, z))
+            seen.add(run)
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in lost)
     return out
 
 
@@ -142,9 +142,27 @@ def test_line_dedup(spark):
     assert len(r) == len(rows) and r[0].lines == 1
     want = brute_lines(rows)
     assert {(x.doc_id, x.text) for x in r} == set(want.items())
+    assert {(x.doc_id, x.text) for x in linedup.dedup_lines(df, hot_rows=2).collect()} == set(want.items())
     assert linedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_passages_are_caught(spark):
+    """Passages of two to six lines in foreign surroundings: most of their lines go, and single repeated lines stay."""
+    rng = random.Random(13)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    passages = [[line() for _ in range(rng.randint(2, 6))] for _ in range(60)]
+    single = line()
+    rows, want = [], 0
+    for c in range(3):
+        for i, p in enumerate(passages):
+            rows.append((1000 * c + i, "\n".join([line(), line(), *p, line(), single, line()])))
+            want += len(p) if c else 0
+    kept = {x.doc_id: x.text for x in linedup.dedup_lines(frame(spark, rows)).collect()}
+    lost = sum(len(set(p) - set(kept[1000 * c + i].split("\n"))) for c in (1, 2) for i, p in enumerate(passages))
+    assert lost / want > 0.85 and all(set(p) <= set(kept[i].split("\n")) for i, p in enumerate(passages))
+    assert all(single in t and len(t.split("\n")) >= 5 for t in kept.values())
+
+
 # secrets
 
 
