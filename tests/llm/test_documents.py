@@ -192,9 +192,41 @@ def test_ownership(spark):
     assert [(s.n_owners, s.n_repos, s.live) for s in by[7]] == [(1, 1, True), (3, 7, False)] and by[8] == [] and by[None] == []
     out = {x.doc_id: x.text for x in secrets.redact(df, F.col("owner"), F.col("repo")).collect()}
     assert out[7] == "[assign removed] " + copied and out[0] == copied and out[8] is None
+    hot = secrets.redact(df, F.col("owner"), F.col("repo"), hot_rows=1)
+    assert {x.doc_id: x.text for x in hot.collect()} == out
     assert secrets.scan(df.limit(0), F.col("owner"), F.col("repo")).count() == 0
 
 
+def test_ownership_and_redaction_against_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    values = [f"password=value{i:08d}" for i in range(6)] + ["0123456789abcdef" * 2, "AKIA" + "B" * 16, "token = 0123456789abcdef0123", "eyJ0123456789.0123456789.0123456789 x"]
+    rows = [(i, None if i == 5 else " é🙂 ".join(rng.choice([*values, "plain", "token=short", f"secret=own{i // 3:09d}"]) for _ in range(rng.randint(0, 4))), rng.choice([None, *"abcdefgh"]), rng.choice(["en", None])) for i in range(120)]
+    rows += [(500, "x " * 100_000 + values[0], "a", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    owners, texts = defaultdict(set), defaultdict(set)
+    for _, t, o, _ in rows:
+        for *_, v in secrets.find(t):
+            owners[v].add(o)
+            texts[v].add(t)
+    live = {v for v in owners if min(len(owners[v]), len(texts[v])) <= secrets.EXAMPLE_OWNERS}
+    got = {r.doc_id: (r.n_live, r.n_copied, r.spans) for r in secrets.op5_secret_scan(spark, str(tmp_path)).collect()}
+    assert live and live != set(owners)
+    for i, t, *_ in rows:
+        f = secrets.find(t)
+        n = sum(v in live for *_, v in f)
+        assert got[i] == (n, len(f) - n, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in f))
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.text for r in secrets.redact(df, F.col("source"), F.col("source"), secrets.EXAMPLE_OWNERS).collect()}
+    for i, t, *_ in rows:
+        want, at = "", 0
+        for a, k, b, v in sorted(secrets.find(t), key=lambda f: (f[0], -f[2])):
+            if v in live:
+                if a >= at:
+                    want += t[at:a] + f"[{secrets.KINDS[k]} removed]"
+                at = max(at, b)
+        assert out[i] == (None if t is None else want + t[at:])
+
+
 def test_copies_of_a_document_are_not_examples(spark):
     """A value in copies of one document at two owners is live, in the pipeline also if a copy has lost lines."""
     import corpus_pipeline
