@@ -9,11 +9,15 @@ The blockwise suffix sort with a difference cover, for a corpus that no machine
   rest, sampled positions whose K bytes occur with several names, keep one position a name.
 - Buckets. Those are sorted one bucket (of K-byte hashes) at a time. The suffix that starts o bytes before a sampled position is ordered by its first o bytes,
   then by the rank of the sampled suffix, which the bucket computes once; suffixes of equal order up to LENGTH bytes are equal windows. Bytes
-  decide here, not hashes.
+  decide here.
 
 A bucket's rows fit a task: there are more buckets for more input. A K-byte string with more than ``HOT`` names is not kept in one bucket: its windows are counted one by
-one in a grouped sum with partial sums before the shuffle. Within a scan task equal names are made one before anything is shuffled, so a passage that a third of all
-documents hold sends at most one row a task.
+one in a grouped sum with partial sums before the shuffle. Of the positions of one name that a scan task holds at a time (``FLUSH`` bytes of texts), the first alone goes to the bucket of
+its K bytes; the others are repeats already, and are spread over all buckets by document, which only hand them on. K bytes with ``LOOSE`` names or more there (a passage in ever
+other surroundings) surely have several: their positions are spread by name, and their bucket is told so by one row. So of a passage that a third of all
+documents hold, its bucket gets at most LOOSE rows for FLUSH bytes of input.
+
+What decides: names, and windows about a hot K-byte string, are equal if 128 bits of hashes are; in buckets, bytes are compared.
 
 Defined results: a null text counts as empty; a text shorter than LENGTH keeps all. A null doc_id comes before all others. Rows of equal doc_id and text are one document
 and get the same result; other texts under one doc_id are documents of their own, ordered by text hash. Matches never cross documents. Further columns are ignored.
@@ -41,6 +45,7 @@ BLOCK, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Texts whose sampled positions a scan task holds before it sends them.
 FLUSH = 48 << 20
 HOT = 50_000
+LOOSE = 8
 NULL_ID = -(1 << 63)
 
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,11 +174,16 @@ def _first(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r[~same], ~name[~same]
 
 
-FULL, OPEN = 1, 0
+#: OPEN: first of its name so far; FULL: not the first; SPREAD: first of its name, of K bytes with several names; TOLD: the K bytes have several names.
+OPEN, FULL, SPREAD, TOLD = range(4)
 
 
 def _spread(r: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows by the bucket of their K bytes; FULL ones, which no bucket has to look at, by document, SPREAD ones by name."""
     b = (r["h"] >> np.uint64(11)) % np.uint64(buckets)
+    if "kind" in r.dtype.names:
+        other = np.where(r["kind"] == FULL, r["doc"].astype(np.uint64), r["h"] ^ r["c"]) * _MUL[0]
+        b = np.where((r["kind"] == FULL) | (r["kind"] == SPREAD), (other >> np.uint64(20)) % np.uint64(buckets), b)
     order = np.argsort(b, kind="stable")
     r, b = r[order], b[order]
     cuts = np.flatnonzero(np.diff(b, prepend=buckets + 1))
@@ -187,13 +197,20 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in column.to_pylist()]
 
 
-def sample_partition(buckets: int, flush: int = FLUSH):
+def sample_partition(buckets: int, flush: int = FLUSH, loose: int = LOOSE):
     """For mapInArrow over (doc, sha, text): rows of the cover sample by bucket; of equal names one stays, the others are marked FULL at once."""
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         r, first = _first(np.concatenate(held))
-        r["kind"] = np.where(first, OPEN, FULL)
-        yield from _spread(r, buckets)
+        if not len(r):
+            return
+        head = np.diff(r["h"], prepend=~r["h"][:1]) != 0
+        group = np.cumsum(head) - 1
+        several = np.bincount(group[first], minlength=group[-1] + 1)[group] >= loose
+        r["kind"] = np.where(first, np.where(several, SPREAD, OPEN), FULL)
+        told = r[head & several]
+        told["kind"] = TOLD
+        yield from _spread(np.concatenate([r, told]), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -225,11 +242,12 @@ def name_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             held.setdefault(k, []).append(p)
     for k in sorted(held):
         r = np.concatenate([_rows(p, _ROW) for p in held.pop(k)])
-        sent = r[r["kind"] == FULL]
+        sent, told = r[r["kind"] == FULL], np.unique(r["h"][r["kind"] == TOLD])
+        spread, new = _first(r[r["kind"] == SPREAD])
         r, first = _first(r[r["kind"] == OPEN])
         group = np.cumsum(np.diff(r["h"], prepend=~r["h"][:1]) != 0) - 1
-        several = np.bincount(group[first], minlength=len(r))[group] > 1 if len(r) else first
-        full, openly = np.concatenate([sent, r[~first]]), r[first & several]
+        several = (np.bincount(group[first], minlength=len(r))[group] > 1) | np.isin(r["h"], told) if len(r) else first
+        full, openly = np.concatenate([sent, spread[~new], r[~first]]), np.concatenate([spread[new], r[first & several]])
         for x, is_open in ((full, False), (openly, True)):
             yield pa.RecordBatch.from_arrays([pa.array(x["doc"].copy()), pa.array(x["sha"].copy()), pa.array(x["pos"].copy()), pa.array(x["h"].astype(np.int64)), pa.array(np.full(len(x), is_open))], ["doc", "sha", "pos", "h", "open"])
 
@@ -346,12 +364,12 @@ def _windows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key1", "key2", "doc", "sha", "start"])
 
 
-def removal_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def removal_ranges(docs: DataFrame, hot: int = HOT, loose: int = LOOSE) -> DataFrame:
     """docs: doc, sha, text. doc, sha, ranges: array<struct<start, stop>> (bytes; may overlap, and run past the text) for documents that lose any."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, -(-size // BUCKET_BYTES)))
-    sent = docs.mapInArrow(sample_partition(buckets), SENT)
+    sent = docs.mapInArrow(sample_partition(buckets, loose=loose), SENT)
     marks = materialize(sent.repartition(buckets, "bucket").mapInArrow(name_partition, MARKS), "repeats-marks")
     release(spark)
     opened = marks.where("open")
@@ -415,11 +433,11 @@ def keep_partition(with_bytes: bool):
     return run
 
 
-def dedup_bytes(docs: DataFrame, with_bytes: bool = True, hot: int = HOT) -> DataFrame:
+def dedup_bytes(docs: DataFrame, with_bytes: bool = True, hot: int = HOT, loose: int = LOOSE) -> DataFrame:
     """KEPT of each row of docs (doc_id, text); kept is null unless with_bytes."""
     small_batches(docs.sparkSession)
     d = keyed(docs)
-    r = removal_ranges(d, hot)
+    r = removal_ranges(d, hot, loose)
     return d.join(r, ["doc", "sha"], "left").select("doc", "text", "ranges").mapInArrow(keep_partition(with_bytes), KEPT)
 
 

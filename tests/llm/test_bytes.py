@@ -80,11 +80,11 @@ def corpus(seed=1):
     return rows + [(50, rows[20][1]), (51, rows[20][1][30:]), (52, "q" + rows[20][1])]
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
-def test_suffix_dedup_against_all_windows(spark, hot):
+@pytest.mark.parametrize(("hot", "loose"), [(repeats.HOT, repeats.LOOSE), (1, 2), (repeats.HOT, 1), (2, 3)])
+def test_suffix_dedup_against_all_windows(spark, hot, loose):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("sha", F.lit("clash"))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup_bytes(df, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup_bytes(df, hot=hot, loose=loose).collect()}
     assert got == brute_repeats(rows)
 
 
@@ -105,6 +105,24 @@ def test_long_text_in_parts(monkeypatch):
     assert key(whole) == key(parts)
 
 
+def test_hot_passage_sends_one_row_to_its_bucket():
+    """A passage that all documents of a task hold, each in other surroundings: its bucket gets a row that says so, the rest is spread."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    passage, n, buckets = bytes(rng.choices(b"abcdefgh", k=140)), 2000, 64
+    texts = [(b"%07d " % i + passage).decode() for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts)], ["doc", "sha", "text"])
+    sent, opened = collections.Counter(), collections.Counter()
+    for out in repeats.sample_partition(buckets)([batch]):
+        for bucket, payload in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            r = repeats._rows(payload, repeats._ROW)
+            sent[bucket] += len(r)
+            opened.update(r["h"][np.isin(r["kind"], (repeats.OPEN, repeats.TOLD))].tolist())
+    assert sum(sent.values()) >= n and max(opened.values()) < repeats.LOOSE
+    assert max(sent.values()) < 4 * sum(sent.values()) / buckets
+
+
 def test_cover_sample_is_in_every_window():
     b = np.frombuffer(bytes([repeats.PAD]) * 100 + bytes(random.Random(2).choices(b"ab", k=3000)) + bytes([repeats.PAD]) * 100, np.uint8)
     at = repeats.sampled(b, repeats.hashes(b))
