@@ -14,8 +14,11 @@ Recall: a pair that differs in d of 256 bits shares a bucket of one table with p
 Votes are summed in 16-bit lanes, 4 to a long, over parts of at most 60,000 features, then over the parts, so texts of any length are exact.
 
 Defined results: a null text has no signature, is linked to nothing and is a class of its own (by doc_id); empty texts are equal texts. Rows of equal doc_id and text are
-one document; other texts under one doc_id are documents of their own with that id. A null doc_id is kept and never is the id of a class with another one. Further
+one document; other texts under one doc_id are documents of their own with that id. A null doc_id is kept and never is the id of a class with another one. Where ids clash, or are
+null, class_id doesn't tell classes apart: class_key does, a number of the class alone (null for a null text). Further
 columns are ignored.
+
+Representatives are named by 64 bits of a hash of their signature; at 10^8 of them two share a name with a probability of 3 in 10,000, and would be one class.
 """
 
 from __future__ import annotations
@@ -227,7 +230,7 @@ def components(pairs: DataFrame, jumps: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_sha (null for a null text), class_id (the smallest doc_id of the class), n_links (other signatures
-    within max_distance), n_copies (rows' documents with the same signature, itself included)."""
+    within max_distance), n_copies (documents with the same signature, itself included), class_key (of the class alone)."""
     spark = docs.sparkSession
     sigs = materialize(signatures(docs), "simhash-signatures")
     release(spark)
@@ -240,23 +243,23 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: i
     r = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     r = r.select("sig", "first", "copies", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = r.groupBy("label").agg(F.min("first").alias("class_id"))
-    r = r.join(classes, "label").select("sig", "class_id", "n_links", F.col("copies").alias("n_copies"))
-    out = sigs.join(r, "sig").select("doc_id", "text_sha", "class_id", "n_links", "n_copies")
-    void = docs.where("text IS NULL").select("doc_id").distinct().select("doc_id", F.lit(None).cast("long").alias("text_sha"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    r = r.join(classes, "label").select("sig", "class_id", "n_links", F.col("copies").alias("n_copies"), F.col("label").alias("class_key"))
+    out = sigs.join(r, "sig").select("doc_id", "text_sha", "class_id", "n_links", "n_copies", "class_key")
+    void = docs.where("text IS NULL").select("doc_id").distinct().select("doc_id", F.lit(None).cast("long").alias("text_sha"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("class_key"))
     return out.unionByName(void)
 
 
 def keep_one(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows of docs whose document is the one of its class that stays: that with the smallest doc_id, then text hash. Null texts stay."""
     r = near_duplicates(docs, **limits)
-    chosen = r.where("text_sha IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_sha")).alias("k")).select(F.col("k.doc_id").alias("_gl_id"), F.col("k.text_sha").alias("_gl_sha"))
+    chosen = r.where("text_sha IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_sha")).alias("k")).select(F.col("k.doc_id").alias("_gl_id"), F.col("k.text_sha").alias("_gl_sha"))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.xxhash64("text") == F.col("_gl_sha")) & F.col("text").isNotNull(), "left_semi")
     return kept.unionByName(docs.where("text IS NULL"))
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies")
+    return near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies", "class_key")
 
 
 QUERIES = {"op6_simhash_neardup": op6_simhash_neardup}

@@ -294,6 +294,30 @@ def test_near_duplicates_against_all_pairs(spark, kw):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_where_ids_clash(spark):
+    """Unlike texts under one doc_id, or none, are documents and classes of their own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    df = spark.createDataFrame([(5, a), (5, b), (None, c), (None, d), (7, a), (None, d + " x")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=str)[:1] and set(kept) >= {(5, a), (5, b), (None, c)} and len(kept) == 4 and (7, a) not in kept
+    r = simhash.near_duplicates(df).collect()
+    assert len({x.class_key for x in r}) == 4
+
+
+def test_near_dedup_query(spark, tmp_path):
+    rows = [(i, t, "s") for i, t in near_corpus()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.op6_simhash_neardup(spark, str(tmp_path)).collect()
+    sig = {(x.doc_id, x.text_sha): list(x.sig) for x in simhash.signatures(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    keys = sorted(sig)
+    _, label = brute_classes([sig[k] for k in keys], simhash.MAX_DISTANCE)
+    least = {}
+    for k, x in zip(keys, label):
+        least[x] = min(least.get(x, k[0]), k[0])
+    want = sorted([(k[0], least[x]) for k, x in zip(keys, label)] + [(900, 900), (901, 901)])
+    assert sorted((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_signature_bits(spark):
     """Each bit is the majority over distinct words, also when votes are summed in parts."""
     text = " ".join(f"w{i}" for i in range(50)) + " W1 w2"
