@@ -143,16 +143,14 @@ def _pairs(cells: DataFrame, max_distance: int, coordinates: list[list[int]]) ->
     flags = F.col("a_flags").bitwiseOR(F.col("b_flags"))
     near = side("a").hint("merge").join(side("b"), "cell").where((d <= max_distance) & same & (a < b))
     near = near.select(F.col("a_t").alias("t"), F.col("a_split").alias("split"), flags.alias("flags"), a.alias("a"), b.alias("b"), *[v.alias(f"x{k}") for k, v in enumerate(x)])
-    first = F.lit(len(coordinates))
-    for t in reversed(range(len(coordinates))):
-        differ = None
-        for k, m in enumerate(_masks(coordinates[t])):
-            if m:
-                part = F.col(f"x{k}").bitwiseAND(F.lit(m).cast("long"))
-                differ = part if differ is None else differ.bitwiseOR(part)
-        first = F.when((differ == 0) & (F.col("flags").bitwiseAND(F.lit(1 << t).cast("long")) == 0), t).otherwise(first)
-    near = near.withColumn("first", first)
-    return near.where(F.when(F.col("split"), F.col("first") == len(coordinates)).otherwise(F.col("first") == F.col("t"))).select("a", "b")
+
+    # a lambda, not an expression for each table: the code of the join stays small enough to be compiled, and it ends at the first table found
+    def given(m: Column) -> Column:
+        differ = [F.col(f"x{k}").bitwiseAND(m[f"m{k}"]) for k in range(4)]
+        unsplit = F.col("flags").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), m["t"])) == 0
+        return (F.col("split") | (m["t"] < F.col("t"))) & (differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2]).bitwiseOR(differ[3]) == 0) & unsplit
+
+    return near.where(~F.exists(F.array(*mask_rows(coordinates, "t")), given)).select("a", "b")
 
 
 def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
