@@ -34,7 +34,7 @@ from graphloom.llm.common import materialize, release, table
 BITS, LANES = 256, 4
 MAX_DISTANCE = 46
 RECALL = 0.98
-PASS = 40
+PASS = 20
 CAP, EXTRA, DRAWS = 1000, 6, 8
 PART = 60_000
 SEEDS = (11, 23, 37, 53)
