@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from graphloom.operators.chains import MAX_CHAINS, MAX_DEPTH
 from graphloom.plans.project import analyse
 from graphloom.sinks import diagrams, reports
-from graphloom.sources.scan import load_config, merged_options, resolve_language
+from graphloom.sources.scan import load_config, merged_options, read_config, resolve_language
 
 DEFAULTS = {"format": "summary", "output": None, "lang": None, "max_depth": MAX_DEPTH, "max_chains": MAX_CHAINS, "only_cross_file": False, "restrict_dir": None, "exclude": None, "cache": None}
 
@@ -19,8 +19,17 @@ DEFAULTS = {"format": "summary", "output": None, "lang": None, "max_depth": MAX_
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="graphloom")
     sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("analyze")
+    w = sub.add_parser("watch")
+    for x in (sub.add_parser("analyze"), w):
+        _options(x)
+    w.add_argument("--debounce", type=float, default=1.0, help="quiet seconds before the tree is analysed again")
+    w.add_argument("--rounds", type=int, help="end after so many analyses")
+    return p
+
+
+def _options(a: argparse.ArgumentParser) -> None:
     a.add_argument("path")
+    a.add_argument("--config", help="a TOML file with [analyze]; without it, the one of the project")
     a.add_argument("--format", choices=["summary", "json", "jsonl", "dot", "mermaid", "html", "tables"], default=DEFAULTS["format"])
     a.add_argument("--output")
     a.add_argument("--lang", action="append")
@@ -30,14 +39,17 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--restrict-dir")
     a.add_argument("--exclude", action="append")
     a.add_argument("--cache")
-    return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = vars(parser().parse_args(argv))
-    args.pop("command")
-    root = args.pop("path")
-    o = merged_options(args, DEFAULTS, load_config(root))
+    command, root, config = args.pop("command"), args.pop("path"), args.pop("config")
+    gap, rounds = args.pop("debounce", 1.0), args.pop("rounds", None)
+    try:
+        o = merged_options(args, DEFAULTS, read_config(config) if config else load_config(root))
+    except (OSError, ValueError) as e:
+        print(e, file=sys.stderr)
+        return 1
     try:
         languages = [resolve_language(x) for x in o["lang"]] if o["lang"] else None
     except ValueError as e:
@@ -47,6 +59,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("no such directory", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
+    if command == "watch":
+        from graphloom.streaming.watch import watch_tree
+
+        code = _run(spark, root, o, languages)
+        watch_tree(root, lambda changed: (print("changed: " + ", ".join(changed)), _run(spark, root, o, languages)), gap, rounds=rounds)
+        return code
+    return _run(spark, root, o, languages)
+
+
+def _run(spark: SparkSession, root: str, o: dict, languages: list[str] | None) -> int:
     a = analyse(spark, root, languages, o["restrict_dir"], o["exclude"], o["cache"])
     if a.modules.isEmpty() and a.parse_errors.isEmpty():
         print("nothing to analyse: no source file of a known language")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Extension to language; ``.h`` counts as C.
 EXTENSIONS = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go",
-    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp",
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go",
+    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
 }
 ALIASES = {
     "py": "python", "python": "python", "js": "javascript", "javascript": "javascript", "ts": "typescript", "typescript": "typescript", "java": "java",
@@ -82,10 +82,10 @@ def module_name(path: Column, language: Column) -> Column:
     strip = lambda exts: F.regexp_replace(dotted, r"\.(?:" + exts + r")$", "")
     return (
         F.when(language == "python", F.regexp_replace(strip("py"), r"\.__init__$", ""))
-        .when(language.isin("javascript", "typescript"), strip("tsx|ts|jsx|js|mjs"))
+        .when(language.isin("javascript", "typescript"), strip("tsx|ts|jsx|js"))
         .when(language == "java", strip("java"))
         .when(language == "go", strip("go"))
         .when(language == "rust", F.replace(strip("rs"), F.lit(".mod"), F.lit("")))
         .when(language == "c", strip("c|h"))
-        .otherwise(strip("cpp|cc|cxx|hpp|hxx|hh"))
+        .otherwise(strip("cpp|cc|cxx|hpp|hxx"))
     )

@@ -61,6 +61,40 @@ def paths(edges: DataFrame, max_depth: int = MAX_DEPTH, in_scope: Column | None
     return out
 
 
+def first_paths(edges: DataFrame, max_chains: int = MAX_CHAINS, max_depth: int = MAX_DEPTH, in_scope: Column | None = None, from_nodes: DataFrame | None = None, width: int = 0) -> DataFrame:
+    """The first max_chains of paths(), in depth-first order, without the others: path, ordpath.
+
+    A level goes on with the first ``width`` rows of its frontier only; the rest waits, and is taken up, deepest first, as long as fewer than max_chains
+    chains stand before all that wait. So a dense graph, whose paths no cluster could list, costs about width times its degree a level.
+    """
+    width = width or max(2 * max_chains, 10_000)
+    adj = cut(adjacency(edges), "adjacency")
+    s = from_nodes if from_nodes is not None else starts(edges, in_scope)
+    known = adj.select("caller").distinct().withColumnRenamed("caller", "node").withColumn("out", F.lit(True))
+    front = s.join(known, "node", "left").select(F.array("node").alias("path"), F.array("rank").alias("ordpath"), F.col("node").alias("last"), F.col("out").isNull().alias("leaf"))
+    steps = adj.withColumnRenamed("leaf", "to_leaf")
+    waiting: list[tuple[int, DataFrame]] = [(1, cut(front, "frontier"))]
+    done = None
+    while waiting:
+        depth, front = waiting.pop()
+        if done is not None:
+            ahead = front.agg(F.min("ordpath").alias("next"))
+            if done.join(F.broadcast(ahead), F.col("ordpath") < F.col("next")).count() >= max_chains:
+                break
+        if front.count() > width:
+            end = front.orderBy("ordpath").limit(width).agg(F.max("ordpath").alias("end"))
+            waiting.append((depth, cut(front.join(F.broadcast(end), F.col("ordpath") > F.col("end")).drop("end"), "frontier")))
+            front = cut(front.join(F.broadcast(end), F.col("ordpath") <= F.col("end")).drop("end"), "frontier")
+        new = front.where(F.col("leaf") if depth < max_depth else F.lit(True)).select("path", "ordpath")
+        done = cut((new if done is None else done.unionByName(new)).orderBy("ordpath").limit(max_chains), "chains")
+        if depth < max_depth:
+            j = front.where(~F.col("leaf")).select("path", "ordpath", "last").join(steps, (F.col("last") == F.col("caller")) & ~F.array_contains("path", F.col("callee")))
+            nxt = cut(j.select(F.array_append("path", F.col("callee")).alias("path"), F.array_append("ordpath", F.col("edge_ord")).alias("ordpath"), F.col("callee").alias("last"), F.col("to_leaf").alias("leaf")), "frontier")
+            if not nxt.isEmpty():
+                waiting.append((depth + 1, nxt))
+    return done
+
+
 def with_files(chains: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds length, files (array, by node), transitions (neighbours in different files). nodes: node, file."""
     e = chains.select("path", "ordpath", F.posexplode("path").alias("pos", "node")).join(nodes.select("node", "file"), "node", "left")

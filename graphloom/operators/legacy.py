@@ -66,6 +66,24 @@ def enclosing_function(lines: DataFrame, spans: DataFrame, width: int = 64) -> D
     return lines.join(best, ["file", "line"], "left")
 
 
+def resolve_names(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """names: name; symbols: qname, name, is_method. Adds qname and how: an exact function, an exact method, the only function of that simple name, the only method of it; else null."""
+    q = symbols.groupBy("qname").agg(F.min("is_method").alias("is_method"))
+    one = symbols.select("name", "qname", "is_method").distinct().groupBy("name", "is_method").agg(F.count("*").alias("n"), F.min("qname").alias("only")).where("n = 1")
+    pick = lambda method, col: one.where(F.col("is_method") == method).select(F.col("name").alias(f"{col}_key"), F.col("only").alias(col))
+    simple = F.element_at(F.split("name", r"\."), -1)
+    j = names.withColumn("_s", simple).join(q.select(F.col("qname").alias("q_key"), F.col("is_method").alias("q_method")), F.col("name") == F.col("q_key"), "left")
+    j = j.join(pick(False, "f"), F.col("_s") == F.col("f_key"), "left").join(pick(True, "m"), F.col("_s") == F.col("m_key"), "left")
+    how = F.when(F.col("q_key").isNotNull(), F.when(F.col("q_method"), "exact_method").otherwise("exact_function")).when(F.col("f").isNotNull(), "only_function").when(F.col("m").isNotNull(), "only_method")
+    return j.select(*names.columns, F.coalesce("q_key", "f", "m").alias("qname"), how.alias("how"))
+
+
+def best_index(chains: DataFrame) -> DataFrame:
+    """at: the place (from 0) in depth-first order of the chain with most transitions, then length, then first."""
+    best = chains.orderBy(F.desc("transitions"), F.desc("length"), "ordpath").limit(1).select(F.col("ordpath").alias("b"))
+    return chains.join(F.broadcast(best), F.col("ordpath") < F.col("b")).agg(F.count("*").alias("at"))
+
+
 def edge_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("total"), F.count_if(F.col("callee_qname").isNotNull()).alias("resolved"), F.count_if(F.col("callee_qname").isNull()).alias("unresolved"))
 

@@ -106,12 +106,11 @@ def entrypoint_flags(s, d):
 # index and resolver
 
 
-@query(f"WITH {SQL_SYM} SELECT cls || '.' || name AS key, count(*) AS n, max(sym_ord) AS last_ord FROM sym GROUP BY 1")
+@query(f"WITH {SQL_SYM}, c AS (SELECT cls || '.' || name AS qname, name, file, cls, sym_ord FROM sym) SELECT qname, arg_max(name, sym_ord) AS name, arg_max(file, sym_ord) AS file_path, arg_max(cls, sym_ord) AS class_name FROM c GROUP BY qname")
 def symbol_index_exact(s, d):
-    """The exact index over qualified names that repeat: Class.name stands for the qualified name here."""
+    """The last definition of qualified names that repeat: Class.name stands for the qualified name here."""
     p = part_symbols(s, d).withColumn("qname", F.concat_ws(".", "class_name", "name"))
-    n = p.groupBy("qname").agg(F.count("*").alias("n"), F.max("sym_ord").alias("last_ord"))
-    return exact_index(p).join(n, "qname").select(F.col("qname").alias("key"), "n", "last_ord")
+    return exact_index(p).select("qname", "definition.name", "definition.file_path", "definition.class_name")
 
 
 @query(f"WITH {SQL_SYM}, c AS (SELECT name AS key, sym_ord, qname FROM sym UNION ALL SELECT cls || '.' || name, sym_ord, qname FROM sym) SELECT key, count(*) AS n, min(sym_ord) AS first_ord, arg_min(qname, sym_ord) AS first_qname FROM c GROUP BY key")
@@ -155,11 +154,9 @@ def hotspots_top20(s, d):
     return M.hotspots(_edges(s, d))
 
 
-@query(f"WITH {SQL_SYM} SELECT qname, name, file AS file_path FROM sym WHERE sym_ord NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+@query(f"WITH {SQL_RES} SELECT qname, name, file AS file_path FROM sym WHERE qname NOT IN (SELECT callee FROM edge) AND NOT (name IN ('main', 'run') OR regexp_matches(name, '^(test_|Test|bench_|Bench|example_|Example)'))")
 def dead_functions(s, d):
-    called = table(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("sym_ord")).distinct()
-    edges = part_symbols(s, d).join(called, "sym_ord").select(F.col("qname").alias("callee_qname"))
-    return M.dead_functions(part_symbols(s, d), edges).select("qname", "name", "file_path")
+    return M.dead_functions(part_symbols(s, d), _edges(s, d)).select("qname", "name", "file_path")
 
 
 _COUPLING = f"WITH {SQL_RES}, p AS (SELECT DISTINCT caller_file, callee_file FROM edge WHERE caller_file <> callee_file), c AS (SELECT f.file AS file_path, (SELECT count(*) FROM p WHERE p.callee_file = f.file) AS fan_in, (SELECT count(*) FROM p WHERE p.caller_file = f.file) AS fan_out FROM (SELECT DISTINCT file FROM sym) f)"
@@ -233,14 +230,14 @@ def chains_dag(s, d):
     return _chains(s, d, max_depth=6).select(_text("path").alias("path"), F.size("path").cast("long").alias("length"))
 
 
-@query(_CH + f" SELECT {_JOIN('path')} AS path, transitions FROM cx WHERE transitions > 3")
+@query(_CH + f" SELECT {_JOIN('path')} AS path, transitions FROM cx WHERE transitions > 0")
 def chains_cross_file(s, d):
-    return _filed(s, d).where("transitions > 3").select(_text("path").alias("path"), "transitions")
+    return _filed(s, d).where("transitions > 0").select(_text("path").alias("path"), "transitions")
 
 
 @query(f"WITH RECURSIVE {SQL_ORDER}, {sql_walk(depth=6)} SELECT {_JOIN('path')} AS path FROM (SELECT path FROM ch ORDER BY ords LIMIT 50000)")
 def chains_capped(s, d):
-    return C.capped(_chains(s, d, max_depth=6)).select(_text("path").alias("path"))
+    return C.first_paths(order_edges(s, d), max_depth=6).select(_text("path").alias("path"))
 
 
 @query(_CH + " SELECT length, count(*) AS n FROM cx GROUP BY length")
@@ -401,6 +398,21 @@ def drift_attribution(s, d):
     return K.attribution(K.deltas(_aligned(s, d))).select("bucket", _text("cases").alias("cases"))
 
 
+_CATS = "[CASE WHEN delta_files <> 0 OR delta_functions <> 0 OR delta_classes <> 0 THEN 'parser' END, CASE WHEN delta_edges <> 0 OR delta_chains <> 0 THEN 'resolver' END]"
+
+
+@query(f"""WITH {_REP}, y AS (SELECT "case", list_filter({_CATS}, lambda v: v IS NOT NULL) AS c, pct FROM j), x AS (SELECT "case", unnest(CASE WHEN len(c) > 0 THEN c WHEN pct <> 0 THEN ['non_structural'] ELSE [] END) AS category FROM y) SELECT category, count(*) AS n, string_agg("case", '>' ORDER BY "case") AS cases FROM x GROUP BY category""")
+def drift_categories(s, d):
+    r = K.deltas(_aligned(s, d)).withColumn("highlight", K.percent_change(F.col("base_total"), F.col("cand_total")) != 0)
+    return K.drift_counts(r).select("category", "n", _text("cases").alias("cases"))
+
+
+@query(f"""WITH {_REP} SELECT "case", array_to_string(list_filter([CASE WHEN delta_files <> 0 THEN 'files' END, CASE WHEN delta_functions <> 0 THEN 'functions' END, CASE WHEN delta_chains <> 0 THEN 'chains' END], lambda v: v IS NOT NULL), '>') AS changed FROM j""")
+def registry_field_diff(s, d):
+    r = K.field_diff(_report(s, d, 1997), _report(s, d, 1998), "case", ["files", "functions", "chains"])
+    return r.select("case", _text("changed").alias("changed"))
+
+
 @query(f"""WITH {_REP} SELECT "case", abs(delta_functions) AS magnitude FROM j ORDER BY CASE WHEN pct > 15 THEN 0 WHEN pct > 0 THEN 1 WHEN pct < 0 THEN 2 ELSE 3 END, (delta_files <> 0)::INT + (delta_functions <> 0)::INT + (delta_classes <> 0)::INT + (delta_edges <> 0)::INT + (delta_chains <> 0)::INT DESC, abs(delta_functions) DESC, abs(pct) DESC, abs(delta_edges) DESC, "case" LIMIT 3""")
 def focus_top3(s, d):
     r = K.deltas(_aligned(s, d))
@@ -447,19 +459,22 @@ def review_plan(s, d):
     return K.review_plan(_owned(s, d).select(F.explode("owners").alias("owner"))).select("kind", _text("names").alias("names"))
 
 
-@query("WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS b FROM orders) SELECT id, CASE WHEN b IS NULL THEN 'missing' WHEN b < '1998-06-01T00:00:00Z' THEN CASE WHEN id % 2 = 0 THEN 'allowed' ELSE 'pending' END ELSE 'current' END AS state FROM o")
+@query("WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS b FROM orders) SELECT id, CASE WHEN b IS NULL THEN 'missing' WHEN id % 7 = 0 THEN 'only' WHEN b < '1998-06-01T00:00:00Z' THEN CASE WHEN id % 2 = 0 THEN 'allowed' ELSE 'pending' END ELSE 'current' END AS state FROM o")
 def baseline_state(s, d):
     b = F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), K.baseline_state(b, F.lit("1998-06-01T00:00:00Z"), F.col("o_orderkey") % 2 == 0).alias("state"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), K.baseline_state(b, F.when(F.col("o_orderkey") % 7 != 0, "1998-06-01T00:00:00Z"), F.col("o_orderkey") % 2 == 0).alias("state"))
 
 
 # sinks
 
 
-@query(_CH + " SELECT '{\"length\":' || length || ',\"cross_file_transitions\":' || transitions || ',\"chain\":[' || array_to_string(list_transform(path, lambda x: '{\"name\":\"' || x || '\"}'), ',') || ']}' AS line FROM cx WHERE length = 4")
+@query(_CH + f" SELECT '{{\"length\":' || length || ',\"cross_file_transitions\":' || transitions || ',\"chain\":[' || array_to_string(list_transform(path, lambda x: '{{\"name\":\"' || x || '\",\"file_path\":\"' || ({SQL_FILE}) || '\",\"line\":' || length(x) || ',\"language\":\"python\"}}'), ',') || ']}}' AS value FROM cx")
 def chains_jsonl(s, d):
-    c = _filed(s, d).where("length = 4")
-    return c.select(F.to_json(F.struct("length", F.col("transitions").alias("cross_file_transitions"), F.transform("path", lambda x: F.struct(x.alias("name"))).alias("chain"))).alias("line"))
+    from graphloom.sinks.reports import chain_lines
+
+    n = order_files(C.graph_nodes(order_edges(s, d)))
+    nodes = n.select(F.col("node").alias("qname"), F.col("node").alias("name"), F.col("file").alias("file_path"), F.length("node").alias("line"), F.lit("python").alias("language"))
+    return chain_lines(_filed(s, d), nodes).select("value")
 
 
 @query(f"WITH {SQL_ORDER}, f AS (SELECT caller, callee, ord FROM adj ORDER BY ord LIMIT 2000), n AS (SELECT caller AS node, min(ord * 2) AS o FROM f GROUP BY 1 UNION ALL SELECT callee, min(ord * 2 + 1) FROM f GROUP BY 1), m AS (SELECT node, min(o) AS o FROM n GROUP BY node) SELECT node, 'n' || (row_number() OVER (ORDER BY o) - 1) AS id FROM m")
@@ -473,3 +488,54 @@ def dot_node_ids(s, d):
 @query("SELECT page_id, " + "replace(" * 10 + "url, '\"', '#quot;'), '''', '#apos;'), '<', '&lt;'), '>', '&gt;'), '(', '#40;'), ')', '#41;'), '[', '#91;'), ']', '#93;'), '{', '#123;'), '}', '#125;') AS label FROM pages")
 def mermaid_labels(s, d):
     return table(s, d, "pages").select("page_id", X.mermaid_escape(F.col("url")).alias("label"))
+
+
+# hints, owners, names
+
+
+_HINTS = [("core", "c1", "src/*"), ("core", "c2", "src/*.py"), ("tests", "c1", "tests/*"), ("all python", "c3", "*.py"), ("nothing", "c9", "none/*")]
+_HIT = "ht(label, hcase, pat) AS (VALUES ('core', 'c1', '^src/.*$'), ('core', 'c2', '^src/.*\\.py$'), ('tests', 'c1', '^tests/.*$'), ('all python', 'c3', '^.*\\.py$')), hm AS (SELECT path, owners, weight, label, hcase FROM (SELECT DISTINCT path, owners, weight FROM ow) JOIN ht ON regexp_matches(path, pat))"
+_RANK = "CASE WHEN max_weight >= 8 THEN 'critical' WHEN max_weight >= 6 THEN 'high' WHEN max_weight >= 4 THEN 'medium' ELSE 'low' END AS priority"
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    return _owned(s, d).select("path", "owners", "weight").distinct()
+
+
+@query(f"WITH {_OWNED}, {_HIT}, f AS (SELECT label, count(DISTINCT path) AS n_files, count(DISTINCT hcase) AS n_cases, string_agg(DISTINCT hcase, '>' ORDER BY hcase) AS cases FROM hm GROUP BY label), w AS (SELECT label, CAST(sum(weight) AS BIGINT) AS w, max(weight) AS max_weight FROM (SELECT DISTINCT label, path, weight FROM hm) GROUP BY label) SELECT label, n_files, cases, max_weight, w + n_files + 2 * n_cases AS score, {_RANK} FROM f JOIN w USING (label)")
+def changed_file_focus(s, d):
+    r = K.changed_file_focus(_changed(s, d).drop("owners"), _HINTS)
+    return r.select("label", F.size("files").cast("long").alias("n_files"), _text("cases").alias("cases"), "max_weight", "score", "priority")
+
+
+_ASKED = f"{_OWNED}, {_HIT}, ho AS (SELECT path, weight, label, hcase, unnest(owners) AS owner FROM hm), f AS (SELECT owner, count(DISTINCT path) AS n_files, count(DISTINCT label) AS n_labels, count(DISTINCT hcase) AS n_cases, string_agg(DISTINCT label, '>' ORDER BY label) AS labels FROM ho GROUP BY owner), w AS (SELECT owner, CAST(sum(weight) AS BIGINT) AS w, max(weight) AS max_weight FROM (SELECT DISTINCT owner, path, weight FROM ho) GROUP BY owner), a AS (SELECT *, w + n_files + 2 * n_labels + 2 * n_cases AS score FROM f JOIN w USING (owner))"
+
+
+@query(f"WITH {_ASKED} SELECT owner, n_files, labels, max_weight, score, {_RANK} FROM a")
+def owners_to_ask(s, d):
+    return K.owners_to_ask(_changed(s, d), _HINTS).select("owner", F.size("files").cast("long").alias("n_files"), _text("labels").alias("labels"), "max_weight", "score", "priority")
+
+
+@query(f"WITH {_ASKED} SELECT owner, row_number() OVER (ORDER BY max_weight DESC, score DESC, n_labels DESC, n_files DESC, owner) AS place FROM a ORDER BY place LIMIT 3")
+def owner_order_top3(s, d):
+    top = K.owner_order(K.owners_to_ask(_changed(s, d), _HINTS)).limit(3)
+    return top.agg(F.collect_list("owner").alias("o")).select(F.posexplode("o").alias("p", "owner")).select("owner", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query(f"WITH {SQL_SYM}, y AS (SELECT sym_ord AS id, CASE sym_ord % 3 WHEN 0 THEN qname WHEN 1 THEN name ELSE 'x.' || name || '_' || (sym_ord % 40) END AS name FROM sym), m AS (SELECT qname, CASE WHEN sym_ord % 3 = 0 THEN name ELSE name || '_' || (sym_ord % 40) END AS name, sym_ord % 2 = 0 AS meth FROM sym), o AS (SELECT name, meth, min(qname) AS q FROM m GROUP BY name, meth HAVING count(DISTINCT qname) = 1), r AS (SELECT y.id, y.name, x.qname AS xq, x.meth, f.q AS fq, g.q AS gq FROM y LEFT JOIN m x ON x.qname = y.name LEFT JOIN o f ON f.name = list_last(string_split(y.name, '.')) AND NOT f.meth LEFT JOIN o g ON g.name = list_last(string_split(y.name, '.')) AND g.meth) SELECT id, coalesce(xq, fq, gq) AS qname, CASE WHEN xq IS NOT NULL THEN CASE WHEN meth THEN 'exact_method' ELSE 'exact_function' END WHEN fq IS NOT NULL THEN 'only_function' WHEN gq IS NOT NULL THEN 'only_method' END AS how FROM r")
+def legacy_names(s, d):
+    p, n = part_symbols(s, d), F.col("sym_ord") % 3
+    tagged = F.concat("name", F.lit("_"), (F.col("sym_ord") % 40).cast("string"))
+    names = p.select(F.col("sym_ord").alias("id"), F.when(n == 0, F.col("qname")).when(n == 1, F.col("name")).otherwise(F.concat(F.lit("x."), tagged)).alias("name"))
+    symbols = p.select("qname", F.when(n == 0, F.col("name")).otherwise(tagged).alias("name"), (F.col("sym_ord") % 2 == 0).alias("is_method"))
+    return L.resolve_names(names, symbols).select("id", "qname", "how")
+
+
+@query(f"WITH {SQL_ORDER} SELECT count(*) AS n FROM (SELECT caller FROM adj UNION SELECT callee FROM adj)")
+def graph_node_count(s, d):
+    return C.graph_nodes(order_edges(s, d)).agg(F.count("*").alias("n"))
+
+
+@query(_CH + ", p AS (SELECT row_number() OVER (ORDER BY ords) - 1 AS place, transitions, length, ords FROM cx) SELECT place FROM p ORDER BY transitions DESC, length DESC, ords LIMIT 1")
+def legacy_best_index(s, d):
+    return L.best_index(_filed(s, d)).withColumnRenamed("at", "place")

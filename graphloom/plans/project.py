@@ -7,17 +7,18 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.frontends import braces, python
+from graphloom.frontends import registry
 from graphloom.frontends.model import Module
+from graphloom.functions.paths import EXTENSIONS
 from graphloom.functions.text import display_name
 from graphloom.operators import chains as C
 from graphloom.operators import metrics as M
+from graphloom.operators.compare import CACHE_VERSION
 from graphloom.operators.resolve import resolved
 from graphloom.plans.scratch import cut
 from graphloom.sources.scan import read_sources
@@ -33,8 +34,7 @@ ERROR = "error string"
 
 def module_of(path: str, language: str) -> str:
     p = path.replace("/", ".").replace("\\", ".")
-    ends = {"python": (".py",), "javascript": (".jsx", ".js", ".mjs"), "typescript": (".tsx", ".ts"), "java": (".java",), "go": (".go",), "rust": (".rs",), "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".hpp", ".hxx", ".hh")}
-    for e in ends[language]:
+    for e in sorted((f".{x}" for x, lang in EXTENSIONS.items() if lang == language), key=len, reverse=True):
         if p.endswith(e):
             p = p[: -len(e)]
             break
@@ -43,14 +43,13 @@ def module_of(path: str, language: str) -> str:
     return p.replace(".mod", "") if language == "rust" else p
 
 
-def parse_text(text: str, path: str, language: str) -> Module:
-    module = module_of(path, language)
-    return python.parse(text, module) if language == "python" else braces.parse(text, module, language)
+def parse_text(text: str, path: str, language: str, frontends: dict | None = None) -> Module:
+    return (frontends or registry.FRONTENDS)[language].parse(text, module_of(path, language), language)
 
 
-def _rows(path: str, language: str, content: bytes) -> Iterator[tuple[str, int, str]]:
+def _rows(path: str, language: str, content: bytes, frontends: dict | None = None) -> Iterator[tuple[str, int, str]]:
     try:
-        m = parse_text(content.decode("utf-8", "replace"), path, language)
+        m = parse_text(content.decode("utf-8", "replace"), path, language, frontends)
     except (SyntaxError, ValueError, IndexError, KeyError, RecursionError) as e:
         yield "error", 0, json.dumps({"error": f"{type(e).__name__}: {e}"})
         return
@@ -60,15 +59,20 @@ def _rows(path: str, language: str, content: bytes) -> Iterator[tuple[str, int,
             yield kind, i, json.dumps(dataclasses.asdict(x))
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [(r.path, r.language, r.sha256, r.lang_ord, *x) for r in b.itertuples() for x in _rows(r.path, r.language, r.content)]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
+def _parser(frontends: dict):
+    """For mapInPandas; the front-ends travel with it, also those that a user registered on the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(r.path, r.language, r.sha256, r.lang_ord, *x) for r in b.itertuples() for x in _rows(r.path, r.language, r.content, frontends)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
+
+    return run
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
     """PARSED rows, one a finding, tagged by kind; a file that can't be parsed gives one of kind error."""
-    return sources.select("path", "language", "content", "sha256", "lang_ord").mapInPandas(_parse_batches, PARSED)
+    return sources.select("path", "language", "content", "sha256", "lang_ord").mapInPandas(_parser(dict(registry.FRONTENDS)), PARSED)
 
 
 def parse_with_cache(sources: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -85,6 +89,9 @@ def parse_with_cache(sources: DataFrame, cache: DataFrame | None) -> tuple[DataF
 @dataclass
 class Analysis:
     parsed: DataFrame
+    #: Files whose findings came from the cache, and files that were parsed.
+    hits: int = 0
+    misses: int = 0
 
     def _kind(self, kind: str, schema: str) -> DataFrame:
         p = self.parsed.where(F.col("kind") == kind)
@@ -136,10 +143,10 @@ class Analysis:
         first = None
         if restrict_dir:
             first = C.starts(g, files.where(F.col("file").startswith(restrict_dir)))
-        c = C.with_files(C.paths(g, max_depth, from_nodes=first), files)
-        if only_cross_file:
-            c = c.where("transitions > 0")
-        return C.capped(c, max_chains)
+        if not only_cross_file:
+            return C.capped(C.with_files(C.first_paths(g, max_chains, max_depth, from_nodes=first), files), max_chains)
+        # which chains count is known only when they are whole
+        return C.capped(C.with_files(C.paths(g, max_depth, from_nodes=first), files).where("transitions > 0"), max_chains)
 
     def hotspots(self, top: int = 20) -> DataFrame:
         return M.hotspots(self.edges, top)
@@ -171,13 +178,42 @@ class Analysis:
         return e.select("edge_ord", "caller_qname", "caller_file", display_name(F.col("caller_class"), F.col("caller_name")).alias("caller_display"), "callee_qname", "callee_file", display_name(F.col("callee_class"), F.col("callee_name")).alias("callee_display"))
 
 
+def _cache_path(spark: SparkSession, cache_dir: str):
+    """The table of this version, on any file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cache_dir}/v{CACHE_VERSION}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def load_cache(spark: SparkSession, cache_dir: str) -> DataFrame | None:
+    """PARSED rows of earlier runs; None if there are none of this version, or they can't be read."""
+    path, fs = _cache_path(spark, cache_dir)
+    if not fs.exists(path):
+        return None
+    try:
+        cache = spark.read.schema(PARSED).parquet(path.toString())
+        return cut(cache, "cache")  # reads all of it, so a broken file shows here
+    except Exception:  # whatever is wrong with it, the files can be parsed again
+        return None
+
+
+def clear_cache(spark: SparkSession, cache_dir: str) -> None:
+    """Remove what any version cached."""
+    path, fs = _cache_path(spark, cache_dir)
+    fs.delete(path.getParent(), True)
+
+
 def analyse(spark: SparkSession, root: str, languages: list[str] | None = None, restrict_dir: str | None = None, exclude: list[str] | None = None, cache_dir: str | None = None) -> Analysis:
-    """Analyse a source tree; with cache_dir, only files that changed since the last run are parsed."""
+    """Analyse a source tree; with cache_dir, only files that changed since the last run are parsed. Findings of files that this run leaves out stay in the cache."""
     sources = read_sources(spark, root, languages, restrict_dir, exclude)
     if cache_dir is None:
         return Analysis(cut(parse_sources(sources), "parsed"))
-    cache = spark.read.schema(PARSED).parquet(cache_dir) if Path(cache_dir).exists() else None
-    parsed, _ = parse_with_cache(sources, cache)
+    cache = load_cache(spark, cache_dir)
+    parsed, new = parse_with_cache(sources, cache)
     parsed = cut(parsed, "parsed")
-    parsed.write.mode("overwrite").parquet(cache_dir)
-    return Analysis(parsed)
+    keys = sources.select("path", "sha256").distinct()
+    total = keys.count()
+    hits = 0 if cache is None else keys.join(cache.where("kind <> 'error'").select("path", "sha256").distinct(), ["path", "sha256"], "left_semi").count()
+    if cache is None or hits < total:
+        kept = parsed if cache is None else parsed.unionByName(cache.join(parsed.select("path").distinct(), "path", "left_anti").select(parsed.columns))
+        cut(kept, "cache").write.mode("overwrite").parquet(f"{cache_dir}/v{CACHE_VERSION}")
+    return Analysis(parsed, hits, total - hits)

@@ -75,6 +75,11 @@ def load_config(project: str, strict: bool = False) -> dict:
     return {}
 
 
+def read_config(path: str) -> dict:
+    """[analyze] of a configuration that was named, so what is wrong with it is an error (OSError or ValueError)."""
+    return tomllib.loads(Path(path).read_text()).get("analyze", {})
+
+
 def merged_options(options: dict, defaults: dict, config: dict) -> dict:
     """A configured value counts where the option still has its default."""
     return {k: config[k] if k in config and v == defaults.get(k) else v for k, v in options.items()}
@@ -91,6 +96,36 @@ def read_manifest(path: str) -> list[dict]:
     return data["project"]
 
 
+REGISTRY_FIELDS = {"name": str, "path": str, "url": str, "revision": str, "license": str, "languages": list, "checksum": str, "enabled": bool}
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Sources of a registry (version 1, [[source]] tables): a row each of REGISTRY_FIELDS, nulls where one isn't given. Unknown fields, wrong types and equal names are errors."""
+    data = tomllib.loads(Path(path).read_text())
+    rows = data.get("source")
+    if data.get("version") != 1 or not isinstance(rows, list) or not rows or not all(isinstance(r, dict) for r in rows):
+        raise ValueError("a registry needs version = 1 and at least one [[source]]")
+    for r in rows:
+        for k, v in r.items():
+            if k not in REGISTRY_FIELDS or not isinstance(v, REGISTRY_FIELDS[k]) or (isinstance(v, list) and not all(isinstance(x, str) for x in v)):
+                raise ValueError(f"source {r.get('name')}: {k} = {v!r}")
+    names = [r.get("name") for r in rows]
+    if None in names or len(set(names)) < len(names):
+        raise ValueError("source names must be given, and unique")
+    kinds = {str: "string", bool: "boolean", list: "array<string>"}
+    return spark.createDataFrame([tuple(r.get(k) for k in REGISTRY_FIELDS) for r in rows], ", ".join(f"{k} {kinds[t]}" for k, t in REGISTRY_FIELDS.items()))
+
+
+def write_registry(sources: DataFrame, path: str) -> None:
+    """The registry as TOML, sources by name; a file that a person keeps, so it is written by the driver."""
+    import json
+
+    lines = ["version = 1"]
+    for r in sources.orderBy("name").collect():
+        lines += ["", "[[source]]", *[f"{k} = {json.dumps(v, ensure_ascii=False)}" for k, v in r.asDict().items() if v is not None and k in REGISTRY_FIELDS]]
+    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a benchmark or snapshot report (JSON with cases or projects): one row a case; equal names are an error."""
     raw = spark.read.json(path, multiLine=True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import EXTENSIONS
+from graphloom.functions.paths import EXTENSIONS, SKIP_DIRS
 from graphloom.operators.filters import watched
 
 EVENTS = "ts timestamp, path string, content binary"
@@ -34,18 +36,68 @@ def merge_sources(current: DataFrame | None, changed: DataFrame) -> DataFrame:
     return current.join(changed.select("path"), "path", "left_anti").select("path", "content").unionByName(new)
 
 
+def _latest(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
+    """The sources of the last batch before this one, from the tables by batch in folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    old = sorted(n for n in done if n < before)
+    for n in old[:-2]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path, str(n)), True)
+    return spark.read.schema("path string, content binary").parquet(f"{folder}/{old[-1]}") if old else None
+
+
+def tree_changes(root: str, seen: dict[str, tuple[int, int]]) -> list[str]:
+    """Watched files under root that came, changed or went since the last call; seen holds their times and sizes."""
+    now = {}
+    for p in Path(root).rglob("*"):
+        rel = p.relative_to(root)
+        if p.suffix.lower().lstrip(".") in EXTENSIONS and not set(rel.parts[:-1]) & set(SKIP_DIRS) and p.is_file():
+            st = p.stat()
+            now[str(rel)] = (st.st_mtime_ns, st.st_size)
+    changed = sorted(k for k in now.keys() | seen.keys() if now.get(k) != seen.get(k))
+    seen.clear()
+    seen.update(now)
+    return changed
+
+
+def watch_tree(root: str, analyse: Callable[[list[str]], object], gap: float = 1.0, poll: float = 0.25, rounds: int | None = None) -> None:
+    """Call analyse with the changed paths whenever a source tree of this machine has changed and then been quiet for gap seconds; rounds: how many calls, for ever if None.
+
+    What was analysed before is the cache's business, so a restart parses nothing twice.
+    """
+    seen: dict[str, tuple[int, int]] = {}
+    tree_changes(root, seen)
+    pending: set[str] = set()
+    quiet = time.monotonic()
+    while rounds is None or rounds > 0:
+        time.sleep(poll)
+        changed = tree_changes(root, seen)
+        if changed:
+            pending |= set(changed)
+            quiet = time.monotonic()
+        elif pending and time.monotonic() - quiet >= gap:
+            analyse(sorted(pending))
+            pending = set()
+            rounds = None if rounds is None else rounds - 1
+
+
 def watch(spark: SparkSession, directory: str, analyse: Callable[[DataFrame], object], checkpoint: str, gap: str = "1 second"):
-    """A query over Parquet files of EVENTS that calls analyse with all current sources whenever a batch changed any; the trigger is the quiet gap."""
-    state: dict[str, DataFrame | None] = {"sources": None}
+    """A query over Parquet files of EVENTS that calls analyse with all current sources whenever a batch changed any; the trigger is the quiet gap.
 
-    def on_batch(batch: DataFrame, _id: int) -> None:
+    The sources are a table by batch beside the checkpoint, so a restart goes on from them; a batch that is run again writes the same table.
+    """
+    folder = f"{checkpoint.rstrip('/')}-sources"
+
+    def on_batch(batch: DataFrame, number: int) -> None:
         changed = changed_sources(batch)
         if changed.isEmpty():
             return
-        from graphloom.plans.scratch import cut
-
-        state["sources"] = cut(merge_sources(state["sources"], changed), "watched")
-        analyse(state["sources"])
+        merge_sources(_latest(spark, folder, number), changed).write.mode("overwrite").parquet(f"{folder}/{number}")
+        analyse(spark.read.schema("path string, content binary").parquet(f"{folder}/{number}"))
 
     stream = spark.readStream.schema(EVENTS).parquet(directory)
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(processingTime=gap).start()
