@@ -8,6 +8,12 @@ unlike texts stay small), and there are as many as keep the recall (``table_coun
 dense, and is compared exactly, block against block, so no task holds it whole. Each candidate pair is verified on all 256 bits. Equal signatures are one
 representative, so copies are never expanded into pairs. Classes are the connected components of the links.
 
+Many near copies of one text share nearly every bucket, and their pairs grow as the square of their number; so classes don't come from all pairs. First each signature is
+linked with one leader of its bucket, in half the tables of a pass. Of classes that have more than ``HEAVY`` signatures by then, no two signatures of the same class are candidates:
+they meet the others of their bucket only, in all tables and unsplit. Other signatures meet as above. What is found is put into the classes whenever it is more than the
+signatures. The links of a signature are counted within its class, which has them all, once for each pair rather than once a table: that alone is quadratic in the size of
+a class.
+
 Recall: a pair that differs in d of 256 bits shares a bucket of one table with probability C(256 - d, bits) / C(256, bits), and if that is split, one of its cells with
 1 - (1 - C(256 - bits - d, 6) / C(256 - bits, 6))^8; each table draws its own additional bits. With p the product, it is a candidate with probability 1 - (1 - p)^tables or more. Tables are so many that this is at least ``RECALL`` for d = ``MAX_DISTANCE`` whatever the bits. Tests measure it against all pairs.
 
@@ -23,11 +29,13 @@ Representatives are named by 64 bits of a hash of their signature; at 10^8 of th
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import materialize, release, table
 
@@ -36,6 +44,7 @@ MAX_DISTANCE = 46
 RECALL = 0.98
 PASS = 20
 CAP, EXTRA, DRAWS = 1000, 6, 8
+HEAVY = 32
 PART = 60_000
 SEEDS = (11, 23, 37, 53)
 LANE = 0x0001000100010001
@@ -154,26 +163,105 @@ def _pairs(cells: DataFrame, max_distance: int, coordinates: list[list[int]]) ->
     return near.where(~F.exists(F.array(*mask_rows(coordinates, "t")), given)).select("a", "b")
 
 
-def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
-    """Distinct pairs a < b of representatives (by name_of their signatures) within max_distance, from the sampled tables. reps: sig."""
+def distance(x: str, y: str) -> Column:
+    """Bits in which the signatures of the words with these prefixes differ."""
+    v = [F.bit_count(F.col(f"{x}_{w}").bitwiseXOR(F.col(f"{y}_{w}"))) for w in WORDS]
+    return sum(v[1:], v[0])
+
+
+def _as(of: DataFrame, x: str, *more: str) -> DataFrame:
+    return of.select(*more, *[F.col(w).alias(f"{x}_{w}") for w in WORDS])
+
+
+def _name(x: str) -> Column:
+    return name_of([F.col(f"{x}_{w}") for w in WORDS])
+
+
+def _cells(of: DataFrame, coordinates: list[list[int]], *more: str) -> DataFrame:
+    r = of.select(*more, *WORDS, masks(coordinates, "t"))
+    return r.select(sampled(F.col("m.t")).alias("cell"), *more, *WORDS)
+
+
+def _stars(nodes: DataFrame, coordinates: list[list[int]], max_distance: int) -> DataFrame:
+    """Links of each signature with the leader of its bucket of each table, where within max_distance; leaders are drawn by hash, another one in each table."""
+    first = Window.partitionBy("cell").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = _cells(nodes, coordinates).withColumn("order", F.xxhash64("cell", *WORDS))
+    r = r.select(*[F.first(w).over(first).alias(f"a_{w}") for w in WORDS], *[F.col(w).alias(f"b_{w}") for w in WORDS])
+    d = distance("a", "b")
+    return r.where((d <= max_distance) & (d > 0)).select(_name("a").alias("a"), _name("b").alias("b")).distinct()
+
+
+def _across(heavy: DataFrame, rest: DataFrame, coordinates: list[list[int]], max_distance: int) -> DataFrame:
+    """Pairs of a class and a signature of another class, or of rest, that is within max_distance of one of its signatures in the same bucket. heavy: label, s0..s3.
+
+    In each bucket the signatures of rest, and those of the smaller of two classes, go to each (larger) class; no class meets itself.
+    """
+    held = _cells(heavy, coordinates, "label")
+    groups = materialize(held.groupBy("cell", "label").agg(F.count("*").alias("size")), "simhash-groups")
+    into = groups.select("cell", F.col("label").alias("into"), F.col("size").alias("into_size"))
+    larger = groups.join(into, "cell").where(F.struct("size", "label") < F.struct(F.col("into_size"), F.col("into"))).select("cell", "label", "into")
+    come = _cells(rest, coordinates).join(into.drop("into_size").hint("shuffle_hash"), "cell")  # not sorted
+    come = _as(come, "b", "cell", "into").unionByName(_as(held.join(larger, ["cell", "label"]), "b", "cell", "into"))
+    near = _as(held.withColumnRenamed("label", "into"), "a", "cell", "into").hint("merge").join(come, ["cell", "into"]).where(distance("a", "b") <= max_distance)
+    return near.select(F.col("into").alias("a"), _name("b").alias("b")).distinct()
+
+
+def classes(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None, heavy: int = HEAVY) -> DataFrame:
+    """node, label: of each representative that is linked with another one the smallest of its class, both by name_of their signatures. reps: sig."""
     m = bits or table_bits(n)
     tables = tables or table_count(m, max_distance)
     coordinates, extra = draws(m, tables)
     size = math.ceil(tables / math.ceil(tables / PASS))
-    parts = [(coordinates[i : i + size], extra[i : i + size]) for i in range(0, tables, size)]
-    if len(parts) == 1:
-        return _pass(reps, coordinates, extra, max_distance, cap)
-    out = None
-    for part in parts:
-        pairs = materialize(_pass(reps, *part, max_distance, cap), "simhash-pass")
+    nodes = reps.select(*words_of(F.col("sig")))
+    found, gained = [_stars(nodes, coordinates[: math.ceil(size / 2)], max_distance)], n + 1
+    for i in range(0, tables, size):
+        if gained > n:
+            labels = _folded(found)
+            members, rest = _parted(nodes, labels, heavy)
+            found, gained = [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))], 0
+        part = coordinates[i : i + size]
+        found.append(materialize(_pass(rest, part, extra[i : i + size], max_distance, cap), "simhash-pass"))
         release(reps.sparkSession)  # the shuffle files of one pass go before the next
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+        gained += found[-1].count()
+        if not members.isEmpty():
+            found.append(materialize(_across(members, rest, part, max_distance), "simhash-across"))
+            release(reps.sparkSession)
+    return _folded(found)
+
+
+def _folded(found: list[DataFrame]) -> DataFrame:
+    labels = components(materialize(functools.reduce(DataFrame.unionByName, found), "simhash-found"))
+    release(labels.sparkSession)
+    return labels
+
+
+def _parted(nodes: DataFrame, labels: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of classes of more than heavy, with their label, and the others."""
+    wide = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > heavy).select("label")
+    named = nodes.withColumn("node", name_of([F.col(w) for w in WORDS]))
+    members = materialize(named.join(labels.join(wide, "label"), "node").select("label", *WORDS), "simhash-heavy")
+    return members, nodes if members.isEmpty() else materialize(nodes.join(members, WORDS, "left_anti"), "simhash-rest")
 
 
-def _pass(reps: DataFrame, coordinates: list[list[int]], extra: list[list[list[int]]], max_distance: int, cap: int) -> DataFrame:
-    """Distinct pairs of the tables of one pass. extra: of each table the draws that split its large buckets."""
-    keyed = reps.select(*words_of(F.col("sig"))).withColumn("flags", F.lit(0).cast("long"))
+def _within(reps: DataFrame, labels: DataFrame, max_distance: int, cap: int) -> DataFrame:
+    """Ordered pairs a, b of unequal representatives of one class within max_distance: all pairs of a class are compared, by blocks of about cap. reps: sig."""
+    size = labels.groupBy("label").agg(F.ceil(F.count("*") / cap).cast("long").alias("blocks"))
+    r = reps.select(*words_of(F.col("sig"))).withColumn("node", name_of([F.col(w) for w in WORDS]))
+    r = materialize(r.join(labels.join(size, "label"), "node").select("label", "blocks", F.pmod("node", "blocks").alias("block"), *WORDS), "simhash-members")
+    a = _as(r.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "a", "label", "block")
+    d = distance("a", "b")
+    near = a.hint("merge").join(_as(r, "b", "label", "block"), ["label", "block"]).where((d <= max_distance) & (d > 0))
+    return near.select(_name("a").alias("a"), _name("b").alias("b"))
+
+
+def links(reps: DataFrame, n: int, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
+    """Pairs a < b of representatives (by name_of their signatures) within max_distance, of the same class. reps: sig."""
+    return _within(reps, classes(reps, n, max_distance, tables, cap, bits), max_distance, cap).where("a < b")
+
+
+def _pass(nodes: DataFrame, coordinates: list[list[int]], extra: list[list[list[int]]], max_distance: int, cap: int) -> DataFrame:
+    """Distinct pairs of the tables of one pass. extra: of each table the draws that split its large buckets. nodes: s0..s3."""
+    keyed = nodes.withColumn("flags", F.lit(0).cast("long"))
     out = ["cell", "t", "split", "flags", *WORDS]
 
     def rows(of: DataFrame) -> DataFrame:
@@ -181,6 +269,7 @@ def _pass(reps: DataFrame, coordinates: list[list[int]], extra: list[list[list[i
         return r.select(sampled(F.col("m.t")).alias("cell"), F.col("m.t").alias("t"), F.lit(False).alias("split"), "flags", *WORDS)
 
     big = materialize(rows(keyed).groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > cap).select("cell"), "simhash-big")
+    release(nodes.sparkSession)
     if big.isEmpty():
         return _pairs(rows(keyed), max_distance, coordinates)  # each pair once
     own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t"))
@@ -227,25 +316,23 @@ def components(pairs: DataFrame, jumps: int = 3) -> DataFrame:
         edges = materialize(edges.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "components-edges")
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_sha (null for a null text), class_id (the smallest doc_id of the class), n_links (other signatures
     within max_distance), n_copies (documents with the same signature, itself included), class_key (of the class alone)."""
     spark = docs.sparkSession
     sigs = materialize(signatures(docs), "simhash-signatures")
     release(spark)
     reps = materialize(sigs.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", name_of(words_of(F.col("sig")))), "simhash-reps")
-    n = reps.count()
-    pairs = materialize(links(reps.select("sig"), n, max_distance, tables, cap, bits), "simhash-links")
-    release(spark)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = components(pairs)
-    r = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    r = r.select("sig", "first", "copies", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = r.groupBy("label").agg(F.min("first").alias("class_id"))
-    r = r.join(classes, "label").select("sig", "class_id", "n_links", F.col("copies").alias("n_copies"), F.col("label").alias("class_key"))
-    out = sigs.join(r, "sig").select("doc_id", "text_sha", "class_id", "n_links", "n_copies", "class_key")
-    void = docs.where("text IS NULL").select("doc_id").distinct().select("doc_id", F.lit(None).cast("long").alias("text_sha"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("class_key"))
-    return out.unionByName(void)
+    labels = classes(reps.select("sig"), reps.count(), max_distance, tables, cap, bits, heavy)
+    r = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    columns = ["class_id", "n_links", "n_copies", "class_key"]
+    degree = materialize(_within(reps, labels, max_distance, cap).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links")), "simhash-degree")
+    r = r.join(degree, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    least = r.groupBy("label").agg(F.min("first").alias("class_id"))
+    r = r.join(least, "label").withColumnsRenamed({"copies": "n_copies", "label": "class_key"}).select("sig", *columns)
+    out = sigs.join(r, "sig").select("doc_id", "text_sha", *columns)
+    void = {"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "n_copies": F.lit(1).cast("long"), "class_key": F.lit(None).cast("long")}
+    return out.unionByName(docs.where("text IS NULL").select("doc_id").distinct().select("doc_id", F.lit(None).cast("long").alias("text_sha"), *[void[c].alias(c) for c in columns]))
 
 
 def keep_one(docs: DataFrame, **limits: int) -> DataFrame:

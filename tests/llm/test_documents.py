@@ -318,6 +318,46 @@ def test_near_dedup_query(spark, tmp_path):
     assert sorted((r.doc_id, r.class_id) for r in got) == want
 
 
+def test_many_near_copies_are_not_expanded_into_pairs(spark, monkeypatch):
+    """A class of m near copies gives rows in proportion to m, in each table that is written, and its class and links are those of all pairs."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([w for w in base if rng.random() > 0.03] + [f"x{i}"])) for i in range(1200)]
+    rows += [(5000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    df = frame(spark, rows).repartition(3)
+    written, kept = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda x, name: (r := kept(x, name), written.__setitem__(name, max(r.count(), written.get(name, 0))))[0])
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0} | {5000 + i for i in range(300)}
+    assert max(written.values()) < 40 * len(rows), written
+    sigs = [list(r.sig) for r in simhash.signatures(df).where("doc_id < 5000").orderBy("doc_id").collect()]
+    words = np.unique(np.array(sigs, np.int64), axis=0).view(np.uint64)
+    want = {tuple(w): int((np.bitwise_count(words ^ w).sum(1) <= simhash.MAX_DISTANCE).sum()) - 1 for w in words}
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert all(got[i].class_id == 0 and got[i].n_links == want[tuple(np.array(sigs[i], np.int64).view(np.uint64))] for i in range(1200))
+
+
+@pytest.mark.parametrize("heavy", [1, 3, 10**9])
+def test_classes_against_all_pairs_whatever_is_heavy(spark, heavy):
+    """Groups near one another, in a chain and apart: classes of many signatures meet each other and single signatures."""
+    rng, bits = random.Random(17), range(simhash.BITS)
+    flip = lambda s, k: s ^ sum(1 << c for c in rng.sample(bits, k))
+    centre = [rng.getrandbits(simhash.BITS)]
+    for step in (44, 50, 40, 60, 120, 40):
+        centre.append(flip(centre[-1], step))
+    sigs = sorted({flip(c, rng.randint(0, 6)) for c in centre for _ in range(25)} | {flip(c, 42) for c in centre} | {rng.getrandbits(simhash.BITS) for _ in range(30)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [[signed(s >> 64 * k & (1 << 64) - 1) for k in range(4)] for s in sigs]
+    _, label = brute_classes(rows, simhash.MAX_DISTANCE)
+    reps = spark.createDataFrame([(r,) for r in rows], "sig array<long>").repartition(3)
+    named = {tuple(r.sig): r.rep for r in reps.withColumn("rep", simhash.name_of(simhash.words_of(F.col("sig")))).collect()}
+    got = {r.node: r.label for r in simhash.classes(reps, len(rows), tables=45, bits=8, heavy=heavy).collect()}
+    groups = defaultdict(set)
+    for r, x in zip(rows, label):
+        groups[x].add(named[tuple(r)])
+    assert len(groups) < len(rows) - 150
+    assert got == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
+
+
 def test_signature_bits(spark):
     """Each bit is the majority over distinct words, also when votes are summed in parts."""
     text = " ".join(f"w{i}" for i in range(50)) + " W1 w2"
