@@ -12,7 +12,7 @@ Many near copies of one text share nearly every bucket, and their pairs grow as
 linked with one leader of its bucket, in half the tables of a pass. Of classes that have more than ``HEAVY`` signatures by then, no two signatures of the same class are candidates:
 they meet the others of their bucket only, in all tables and unsplit. Other signatures meet as above. What is found is put into the classes whenever it is more than the
 signatures. The links of a signature are counted within its class, which has them all, once for each pair rather than once a table: that alone is quadratic in the size of
-a class.
+a class, and ``keep_one`` goes without it.
 
 Recall: a pair that differs in d of 256 bits shares a bucket of one table with probability C(256 - d, bits) / C(256, bits), and if that is split, one of its cells with
 1 - (1 - C(256 - bits - d, 6) / C(256 - bits, 6))^8; each table draws its own additional bits. With p the product, it is a candidate with probability 1 - (1 - p)^tables or more. Tables are so many that this is at least ``RECALL`` for d = ``MAX_DISTANCE`` whatever the bits. Tests measure it against all pairs.
@@ -316,9 +316,9 @@ def components(pairs: DataFrame, jumps: int = 3) -> DataFrame:
         edges = materialize(edges.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "components-edges")
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None, heavy: int = HEAVY) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: int | None = None, cap: int = CAP, bits: int | None = None, heavy: int = HEAVY, counted: bool = True) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_sha (null for a null text), class_id (the smallest doc_id of the class), n_links (other signatures
-    within max_distance), n_copies (documents with the same signature, itself included), class_key (of the class alone)."""
+    within max_distance; only if counted), n_copies (documents with the same signature, itself included), class_key (of the class alone)."""
     spark = docs.sparkSession
     sigs = materialize(signatures(docs), "simhash-signatures")
     release(spark)
@@ -326,8 +326,11 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: i
     labels = classes(reps.select("sig"), reps.count(), max_distance, tables, cap, bits, heavy)
     r = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     columns = ["class_id", "n_links", "n_copies", "class_key"]
-    degree = materialize(_within(reps, labels, max_distance, cap).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links")), "simhash-degree")
-    r = r.join(degree, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    if counted:
+        degree = materialize(_within(reps, labels, max_distance, cap).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links")), "simhash-degree")
+        r = r.join(degree, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    else:
+        columns.remove("n_links")
     least = r.groupBy("label").agg(F.min("first").alias("class_id"))
     r = r.join(least, "label").withColumnsRenamed({"copies": "n_copies", "label": "class_key"}).select("sig", *columns)
     out = sigs.join(r, "sig").select("doc_id", "text_sha", *columns)
@@ -337,7 +340,7 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, tables: i
 
 def keep_one(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows of docs whose document is the one of its class that stays: that with the smallest doc_id, then text hash. Null texts stay."""
-    r = near_duplicates(docs, **limits)
+    r = near_duplicates(docs, counted=False, **limits)
     chosen = r.where("text_sha IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_sha")).alias("k")).select(F.col("k.doc_id").alias("_gl_id"), F.col("k.text_sha").alias("_gl_sha"))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.xxhash64("text") == F.col("_gl_sha")) & F.col("text").isNotNull(), "left_semi")
     return kept.unionByName(docs.where("text IS NULL"))

@@ -87,6 +87,18 @@ def test_stages_take_empty_tables_nulls_and_more_columns(spark, stage):
     assert out.count() > 0 and (out.columns == docs.columns or "sequence_id" in out.columns)
 
 
+def test_near_dedup_counts_no_links(spark, monkeypatch):
+    """Near copies of one text leave one, and neither their pairs are written nor their links counted."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([w for w in base if rng.random() > 0.03] + [f"x{i}"]), "aa", "s", 0) for i in range(400)]
+    written, kept = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda x, name: (r := kept(x, name), written.__setitem__(name, r.count()))[0])
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert [r.doc_id for r in out.collect()] == [0]
+    assert max(written.values()) < 40 * len(rows) and not {"simhash-members", "simhash-degree"} & set(written), written
+
+
 def test_entry_has_the_pipeline():
     import __spark_entry__
 
