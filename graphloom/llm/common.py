@@ -6,14 +6,18 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch for operators that hold whole texts in Python.
 BATCH_ROWS = 256
+#: Seconds between two rounds of release.
+ROUND_S = 0.3
 
 
 def reachable(spark: SparkSession) -> None:
@@ -35,6 +39,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 #: By application: the folder of this machine that stands in where none is set.
 _OWN: dict[str, str] = {}
+#: The folders of the tables that materialize returned.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,13 +72,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, rather than at some later garbage collection of the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize that nothing reads any more."""
+    for x in tables:
+        if path := _PATHS.pop(x, None):
+            _remove(x.sparkSession, path)
+
+
+def release(spark: SparkSession, rounds: int = 1) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, rather than at some later garbage collection of the driver.
+
+    The job that has just ended is often still held by the driver in the first round; with a second one its files go too.
+    """
+    for k in range(rounds):
+        if k:
+            time.sleep(ROUND_S)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -9,7 +9,8 @@ The first occurrence stays, and so does a single repeated line between lines tha
 Runs are counted by a 128-bit hash (partial sums before the shuffle); only runs whose hash occurs again are read once more, and are grouped by
 their very text, so a hash collision removes nothing. Hashes that more than 1 in ``HOT_SHARE`` of all runs have are few by that (at most HOT_SHARE), are broadcast, and
 their runs are spread over ``SALTS`` copies of the first occurrence, so a run that a third of all documents hold comes together in no task. Texts are
-shuffled once, by document, and that exchange serves both joins.
+shuffled twice, by document: for the bytes of the runs and for the result. Shuffle files go when the table of their step is written, so at most
+one of the two is on the disk at a time.
 
 Defined results: a null text is one document without lines and stays null; an empty text stays empty. Rows of equal doc_id and text are one document and get the same result;
 rows of equal doc_id and other texts are documents of their own. A text all of whose lines go becomes empty. Further columns are ignored by ``repeats`` and kept by ``dedup_lines``.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import discard, materialize, release, table
 
 WINDOW = 2
 JOINS = 16
@@ -75,6 +76,7 @@ def repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     # equal rows are one document
     rows = hashes.distinct().select("doc_id", "text_sha", F.explode("runs").alias("c")).select("doc_id", "text_sha", "c.*")
     again = materialize(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "line-again")
+    release(docs.sparkSession, rounds=2)
     most = max(hot_rows, (again.agg(F.sum("times")).first()[0] or 0) // HOT_SHARE)
     hot = again.where(F.col("times") > most).select("key")  # at most HOT_SHARE keys
     cold = again.where(F.col("times") <= most).select("key")
@@ -88,6 +90,8 @@ def repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     one = lambda a: F.struct(a["first"].alias("first"), a["n"].alias("n"), a["hot"].alias("hot"), _text(F.col("lines"), a).alias("chunk"))
     c = c.select("doc_id", "text_sha", F.explode(F.transform(F.when(F.size("lines") > 0, F.col("again")), one)).alias("c")).select("doc_id", "text_sha", "c.*")
     c = materialize(c.distinct(), "line-candidates")
+    discard(hashes, again)
+    release(docs.sparkSession, rounds=2)
     first = c.groupBy("chunk").agg(F.min(F.struct("doc_id", "text_sha", "first")).alias("origin"), F.max("hot").alias("hot"))
     first = first.select("chunk", "origin", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     c = c.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_sha"), F.lit(SALTS)).cast("int")).otherwise(0))

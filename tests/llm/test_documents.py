@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat, langid, linedup, merkle, secrets, simhash
+from graphloom.llm.common import release
 
 
 def frame(spark, rows):
@@ -163,6 +166,26 @@ def test_short_passages_are_caught(spark):
     assert all(single in t and len(t.split("\n")) >= 5 for t in kept.values())
 
 
+def test_line_dedup_leaves_the_disk_to_the_next_step(spark):
+    """When the result is read, the shuffle files of the steps are gone, and their tables but the one that it reads."""
+    rng = random.Random(17)
+    block = ["".join(rng.choice("abcdef") for _ in range(9)) for _ in range(40)]
+    rows = [(i, "\n".join([f"{i} a", f"{i} b", *block[i : i + 6], f"{i} c"])) for i in range(30)]
+    df = frame(spark, rows).repartition(3)
+    tables = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "graphloom").glob("line-*")}
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    release(spark)
+    before, held = tables(), shuffles.size()
+    r = linedup.dedup_lines(df)
+    until = time.time() + 15
+    while shuffles.size() > held and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles.size() <= held
+    assert [x.rpartition("-")[0] for x in tables() - before] == ["line-candidates"]
+    got = {x.doc_id: x.text for x in r.collect()}
+    assert got == {x.doc_id: x.text for x in r.collect()} == brute_lines(rows) and got != dict(rows)
+
+
 # secrets
 
 
