@@ -21,11 +21,12 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ BUFFER = 512
 HOLD = 1 << 20
 #: Words whose ids are kept; two generations, so the older half goes when the younger is full.
 CACHE = 500_000
+#: Words of letters that are encoded as one text, at most.
+JOINED = 1024
 
 
 class Words:
@@ -49,6 +52,8 @@ class Words:
 
     Spaces and newlines never are within a token of this tokenizer nor within anything it normalises, and it has no upper case, so ids of a text are those of its parts.
     A tokenizer that encodes any of ``PROBES`` otherwise than whole is refused.
+
+    A batch is split, looked up and put together by Arrow's kernels; Python sees each distinct word of a batch once, without case and marks.
     """
 
     PROBES = (
@@ -56,7 +61,12 @@ class Words:
         "  two  spaces", "1,234.56 --- ... !!", "Word.Word,word. A.B.", "\u00a0nbsp\u2009thin 🙂🙂x", "",
     )
 
+    LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
     MARKS = "!#$%&()*+,-./:;=?@[\\]^_`{}~\""  # apostrophes and what begins a special token are not among them
+    #: A word of Latin letters, then marks, is two token groups, and lower case is that of its letters.
+    SIMPLE = rf"\A(?P<core>[{LETTERS}]+)(?P<marks>[{''.join(chr(92) + c for c in MARKS)}]*)\z"
+    #: What follows each of the words of letters that are encoded as one text.
+    DIGIT = "0"
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -66,52 +76,71 @@ class Words:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.digit = self.tok.encode(self.DIGIT, add_special_tokens=False).ids
         for t in self.PROBES:
             if self.ids([t])[0] != array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes():
                 raise ValueError(f"{path} encodes {t!r} otherwise than word by word")
 
-    def _resolve(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't cached. A word of Latin letters, then marks, is two token groups, and lower case is that of its letters."""
-        young, old, marks = self.young, self.old, self.MARKS
-        found: dict[str, bytes] = {}
-        simple: list[tuple[str, str, str]] = []
-        ask: set[str] = set()
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(words, add_special_tokens=False)] if words else []
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text in which DIGIT follows each: its id ends a word, and where it is found more often, or is none of its own, words are encoded apart."""
+        (e,) = self.encode([f" {self.DIGIT} ".join([*words, ""])], add_special_tokens=False)
+        ids = array("I", e.ids)
+        ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.digit[0]).tolist() if len(self.digit) == 1 else []
+        if len(ends) != len(words):
+            return self._apart(words)
+        data = ids.tobytes()
+        return [data[4 * a : 4 * z] for a, z in zip([0, *(z + 1 for z in ends)], ends)]
+
+    def _resolve(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words that aren't cached."""
+        letters, others = [], []
         for w in words:
-            k = w.rstrip(marks)
-            if k.isalpha() and (k.isascii() or max(k) <= "\xff"):
-                simple.append((w, k.lower(), w[len(k) :]))
-            else:
-                ask.add(w)
-        cores = {k for _, k, _ in simple}
-        cores.update(p for _, _, p in simple)
-        for k in cores:
-            x = young.get(k) or old.get(k)
-            if x is not None:
-                found[k] = x
-            elif k:
-                ask.add(k)
-        found[""] = b""
-        names = list(ask)
-        for x, e in zip(names, self.encode(names, add_special_tokens=False) if names else ()):
-            found[x] = array("I", e.ids).tobytes()
-        for w, k, p in simple:
-            found[w] = found[k] + found[p]
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+            (letters if w.isalpha() else others).append(w)
+        out = dict(zip(others, self._apart(others)))
+        for i in range(0, len(letters), JOINED):
+            some = letters[i : i + JOINED]
+            out.update(zip(some, self._together(some)))
+        return out
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         young, old = self.young, self.old
         young[""] = b""
-        fresh = set().union(*parts) - young.keys() if parts else set()
-        for w in [w for w in fresh if w in old]:
-            young[w] = old[w]
-            fresh.discard(w)
-        young |= self._resolve(fresh)
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
+        out = list(map(young.get, words))
+        fresh = [i for i, x in enumerate(out) if x is None]
+        for i in fresh:
+            out[i] = old.get(words[i])
+        found = self._resolve([words[i] for i in fresh if out[i] is None])
+        for i in fresh:
+            if out[i] is None:
+                out[i] = found[words[i]]
+            young[words[i]] = out[i]
         if len(young) > self.cache:
             self.old, self.young = young, {}
         return out
 
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text; a null text counts as empty."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        split = parts.flatten().dictionary_encode()
+        simple = pc.extract_regex(split.dictionary, self.SIMPLE)
+        core = pc.coalesce(pc.utf8_lower(pc.struct_field(simple, "core")), split.dictionary)
+        marks = pc.fill_null(pc.struct_field(simple, "marks"), "")
+        both = pa.concat_arrays([core, marks]).dictionary_encode()
+        known = pa.array(self._look_up(both.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(both.indices)
+        whole = pc.binary_join_element_wise(known[: len(core)], known[len(core) :], pa.scalar(b"", pa.large_binary()))
+        placed = whole.take(split.indices)  # its values are the ids of all texts, one after another
+        places = np.frombuffer(placed.buffers()[1], np.int64, len(placed) + 1, 8 * placed.offset)
+        bounds = places[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)])].tolist()
+        data = memoryview(placed.buffers()[2] or b"")
+        return [bytes(data[a:z]) for a, z in zip(bounds, bounds[1:])]
+
 
 @lru_cache(1)
 def words(path: str) -> Words:
@@ -204,8 +233,8 @@ def pack_partition(path: str, limits: dict):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], [x.split()[0] for x in PIECES.split(", ")])
 
         for b in batches:
-            keys, texts, loss = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist()
-            yield out([p for key, ids, at in zip(keys, w.ids(texts), loss) for p in packer.put(key, ids + end, len(ids) // 4 + 1 >> 1 if at is None else at)])
+            keys, loss = b.column(0).to_pylist(), b.column(2).to_pylist()
+            yield out([p for key, ids, at in zip(keys, w.ids(b.column(1)), loss) for p in packer.put(key, ids + end, len(ids) // 4 + 1 >> 1 if at is None else at)])
         yield out(list(packer.finish()))
 
     return run

@@ -195,6 +195,36 @@ def test_packing_query_limits(spark, tmp_path):
     assert max(loss.values()) == packing.MAX_LOSS < packing.MAX_TOKENS
 
 
+def test_words_are_asked_together():
+    """New words of letters go to the tokenizer as one text, none a second time for its case or marks; ids are the tokenizer's, whatever ends a word."""
+    w = packing.Words(packing.default_tokenizer())
+    encode, asked = w.encode, []
+    w.encode = lambda texts, **k: asked.extend(texts) or encode(texts, **k)
+    want = lambda t: np.array(w.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abdeghinorstué") for _ in range(9)) for _ in range(3000)})
+    texts = [" ".join(names), "\n".join(x.title() + rng.choice(["", ",", ".", "!!"]) for x in names)]
+    assert w.ids(texts[:1]) == [want(texts[0])] and len(asked) < 10
+    before = len(asked)
+    assert w.ids(texts[1:]) == [want(texts[1])] and len(asked) < before + 10
+    for digit in ("the", names[0]):  # found in the text as a word; several ids
+        w.young, w.old, w.DIGIT, w.digit = {}, {}, digit, w.tok.encode(digit, add_special_tokens=False).ids
+        assert w.ids(["the", "of the, and other words"]) == [want("the"), want("of the, and other words")]
+
+
+def test_words_of_arrow_columns():
+    """Nulls, slices, either width of offsets, no rows, and a cache that turns over."""
+    import pyarrow as pa
+
+    w = packing.Words(packing.default_tokenizer(), cache=50)
+    rng = random.Random(6)
+    al = "aAéÉßſKİΣσς'str0½ \n\t,.<|endoftext|>ª☃!&\x00\u0301\u1100\u1161日가 \u00a0_"
+    for k in range(300):
+        texts = [rng.choice([None, "", "".join(rng.choice(al) for _ in range(90)), " ".join(rng.choice(["don't", "0", "WORD!!", "|", "ΑΣ", "e\u0301"]) for _ in range(30))]) for _ in range(k % 7)]
+        column = pa.array(["x", *texts, "y"], [pa.string(), pa.large_string()][k % 2])[1 : 1 + len(texts)]
+        assert w.ids(column) == [np.array(w.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packer_limits():
     p = packing.Packer(0, max_tokens=64, max_segments=3, max_loss=40, buffer=16)
     rng, out, size = random.Random(1), [], {}
