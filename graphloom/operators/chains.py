@@ -7,6 +7,8 @@ sorts chains in depth-first order, which the cap uses. A frontier row is a path,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,38 +25,66 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return e.join(callers, "callee", "left").select("caller", "callee", "edge_ord", F.coalesce("leaf", F.lit(True)).alias("leaf"))
 
 
-def starts(edges: DataFrame, in_scope: Column | DataFrame | None = None) -> DataFrame:
-    """node, rank (its first edge): callers that nothing calls, in scope; else all callers in scope; else all callers. in_scope: a condition on node, or a table of nodes."""
+def split_adjacency(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """adjacency() in a table, without leaf: edges to nodes that call, edges to leaves. nodes (node, file) adds the callee's file."""
+    adj = adjacency(edges)
+    if nodes is not None:
+        adj = adj.join(nodes.select(F.col("node").alias("callee"), "file"), "callee", "left").withColumn("file", F.coalesce("file", F.lit("")))
+    adj = cut(adj, "adjacency", "leaf")
+    return adj.where("NOT leaf").drop("leaf"), adj.where("leaf").drop("leaf")
+
+
+def starts(edges: DataFrame, in_scope: Column | DataFrame | None = None, called: DataFrame | None = None) -> DataFrame:
+    """node, rank (its first edge): callers that nothing calls, in scope; else all callers in scope; else all callers. in_scope: a condition on node, or a table of nodes.
+    called (callee): edges that reach all callers that something calls, where these are known."""
     callers = edges.groupBy(F.col("caller").alias("node")).agg(F.min("edge_ord").alias("rank"))
-    roots = callers.join(edges.select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
+    roots = callers.join((edges if called is None else called).select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
     scoped = lambda df: df.join(in_scope.select("node").distinct(), "node", "left_semi") if isinstance(in_scope, DataFrame) else df.where(in_scope)
     for tier in [scoped(roots), scoped(callers)] if in_scope is not None else [roots]:
+        tier = cut(tier, "starts")
         if not tier.isEmpty():
             return tier
     return callers
 
 
-def paths(edges: DataFrame, max_depth: int = MAX_DEPTH, in_scope: Column | None = None, from_nodes: DataFrame | None = None, revisit: bool = False, leaves_only: bool = False) -> DataFrame:
-    """path array<string>, ordpath array. from_nodes (node, rank) replaces the starts; revisit allows cycles up to the depth limit; leaves_only drops paths that the limit ends."""
-    adj = cut(adjacency(edges), "adjacency")
-    s = from_nodes if from_nodes is not None else starts(edges, in_scope)
-    known = adj.select("caller").distinct().withColumnRenamed("caller", "node").withColumn("out", F.lit(True))
-    front = s.join(known, "node", "left").select(F.array("node").alias("path"), F.array("rank").alias("ordpath"), F.col("node").alias("last"), F.col("out").isNull().alias("leaf"))
-    done = []
-    for depth in range(1, max_depth + 1):
-        ends = F.col("leaf") if leaves_only or depth < max_depth else F.lit(True)
-        done.append(front.where(ends).select("path", "ordpath"))
-        if depth == max_depth:
-            break
-        go = front.where(~F.col("leaf")).select("path", "ordpath", "last")
-        j = go.join(adj.withColumnRenamed("leaf", "to_leaf"), F.col("last") == F.col("caller"))
+def paths(
+    edges: DataFrame, max_depth: int = MAX_DEPTH, in_scope: Column | None = None, from_nodes: DataFrame | None = None, revisit: bool = False, leaves_only: bool = False, nodes: DataFrame | None = None
+) -> DataFrame:
+    """path array<string>, ordpath array. from_nodes (node, rank) replaces the starts; revisit allows cycles up to the depth limit; leaves_only drops paths that the limit ends.
+    nodes (node, file) adds files, an array by node.
+
+    A frontier holds only paths that can go on, and is a table. The edges to leaves, mostly the most, are joined once, with the frontiers of all levels together.
+    """
+    inner, leaves = split_adjacency(edges, nodes)
+    s = from_nodes if from_nodes is not None else starts(edges, in_scope, inner)
+    front = s.select(F.array("node").alias("path"), F.array("rank").alias("ordpath"), F.col("node").alias("last"))
+    if nodes is not None:
+        front = front.join(nodes.select(F.col("node").alias("last"), "file"), "last", "left").withColumn("files", F.array(F.coalesce("file", F.lit("")))).drop("file")
+    kept = [c for c in front.columns if c != "last"]
+
+    def step(f: DataFrame, e: DataFrame) -> DataFrame:
+        j = f.join(e, F.col("last") == F.col("caller"))
         if not revisit:
             j = j.where(~F.array_contains("path", F.col("callee")))
-        front = j.select(F.array_append("path", F.col("callee")).alias("path"), F.array_append("ordpath", F.col("edge_ord")).alias("ordpath"), F.col("callee").alias("last"), F.col("to_leaf").alias("leaf"))
-        if depth % CUT_EVERY == 0:
-            front = cut(front, "frontier")
-            if front.isEmpty():
-                break
+        grown = {"path": "callee", "ordpath": "edge_ord", "files": "file"}
+        return j.select(*(F.array_append(c, F.col(grown[c])).alias(c) for c in kept), F.col("callee").alias("last"))
+
+    done = []
+    if from_nodes is not None:
+        callers = inner.union(leaves).select(F.col("caller").alias("last")).distinct()
+        done.append(front.join(callers, "last", "left_anti").select(kept))
+        front = front.join(callers, "last", "left_semi")
+    going = None
+    for depth in range(1, max_depth):
+        going = front if going is None else going.unionByName(front)
+        if leaves_only and depth == max_depth - 1:
+            break
+        front = cut(step(front, inner), "frontier")
+        if front.isEmpty():
+            break
+    if going is not None:
+        done.append(step(going, leaves).select(kept))
+    done.append(front.select(kept).limit(0) if leaves_only else front.select(kept))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -95,12 +125,19 @@ def first_paths(edges: DataFrame, max_chains: int = MAX_CHAINS, max_depth: int =
     return done
 
 
-def with_files(chains: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds length, files (array, by node), transitions (neighbours in different files). nodes: node, file."""
-    e = chains.select("path", "ordpath", F.posexplode("path").alias("pos", "node")).join(nodes.select("node", "file"), "node", "left")
-    g = e.groupBy("path", "ordpath").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("file", F.lit("")).alias("file")))).alias("f"))
-    g = g.select("path", "ordpath", F.size("path").cast("long").alias("length"), F.transform("f", lambda x: x["file"]).alias("files"))
-    return g.withColumn("transitions", transitions(F.col("files")))
+def with_files(chains: DataFrame, nodes: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds length, files (array, by node), transitions (neighbours in different files). nodes: a node's file as an expression of the node, or node, file; none if the chains have files.
+
+    The table of nodes is joined to each node of each chain: it is for chains under a cap. Where all are listed, paths() takes it.
+    """
+    if isinstance(nodes, DataFrame):
+        e = chains.select("path", "ordpath", F.posexplode("path").alias("pos", "node")).join(nodes.select("node", "file"), "node", "left")
+        g = e.groupBy("path", "ordpath").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("file", F.lit("")).alias("file")))).alias("f"))
+        g = g.select("path", "ordpath", F.transform("f", lambda x: x["file"]).alias("files"))
+    else:
+        files = F.transform("path", lambda x: F.coalesce(nodes(x), F.lit(""))) if nodes else F.col("files")
+        g = chains.select("path", "ordpath", files.alias("files"))
+    return g.select("path", "ordpath", F.size("path").cast("long").alias("length"), "files", transitions(F.col("files")).alias("transitions"))
 
 
 def transitions(files: Column) -> Column:

@@ -146,7 +146,7 @@ class Analysis:
         if not only_cross_file:
             return C.capped(C.with_files(C.first_paths(g, max_chains, max_depth, from_nodes=first), files), max_chains)
         # which chains count is known only when they are whole
-        return C.capped(C.with_files(C.paths(g, max_depth, from_nodes=first), files).where("transitions > 0"), max_chains)
+        return C.capped(C.with_files(C.paths(g, max_depth, from_nodes=first, nodes=files)).where("transitions > 0"), max_chains)
 
     def hotspots(self, top: int = 20) -> DataFrame:
         return M.hotspots(self.edges, top)

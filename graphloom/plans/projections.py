@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,10 +79,10 @@ def order_edges(spark: SparkSession, d: str) -> DataFrame:
     return n.unionByName(c).unionByName(o).unionByName(p)
 
 
-def order_files(nodes: DataFrame) -> DataFrame:
+def order_file(node: Column) -> Column:
     """The file of a node: its kind, but those of a nation and a part also by their number's parity."""
-    kind = F.substring("node", 1, 1)
-    return nodes.select("node", F.when(kind == "n", F.concat(F.lit("nation"), (F.substring("node", 2, 20).cast("long") % 2).cast("string"))).when((kind == "p") & (F.substring("node", 2, 20).cast("long") % 2 == 1), F.lit("parts")).when(kind.isin("o", "p"), F.lit("sales")).otherwise(kind).alias("file"))
+    kind, odd = F.substring(node, 1, 1), F.substring(node, 2, 20).try_cast("long") % 2
+    return F.when(kind == "n", F.concat(F.lit("nation"), odd.cast("string"))).when((kind == "p") & (odd == 1), F.lit("parts")).when(kind.isin("o", "p"), F.lit("sales")).otherwise(kind)
 
 
 SQL_ORDER = """e4 AS (SELECT 'r' || n_regionkey AS caller, 'n' || n_nationkey AS callee, CAST(n_nationkey AS BIGINT) AS ord FROM nation

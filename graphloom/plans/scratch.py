@@ -32,10 +32,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder: lineage ends there, and lost executors lose nothing of it. It goes when the driver's process ends."""
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df, with a folder for each value of the columns by (the last ones), as a Parquet table of the shared folder: lineage ends there, and lost executors lose nothing of it. It goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
