@@ -140,9 +140,17 @@ def with_files(chains: DataFrame, nodes: DataFrame | Callable[[Column], Column]
     return g.select("path", "ordpath", F.size("path").cast("long").alias("length"), "files", transitions(F.col("files")).alias("transitions"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value). The value is evaluated once, also in a filter, into which a plain expression is copied for each place that names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def transitions(files: Column) -> Column:
-    pairs = F.arrays_zip(F.slice(files, F.lit(1), F.size(files) - 1).alias("a"), F.slice(files, F.lit(2), F.size(files) - 1).alias("b"))
-    return F.when(F.size(files) < 2, F.lit(0)).otherwise(F.size(F.filter(pairs, lambda x: x["a"] != x["b"]))).cast("long")
+    def count(f: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(f, F.lit(1), F.size(f) - 1).alias("a"), F.slice(f, F.lit(2), F.size(f) - 1).alias("b"))
+        return F.when(F.size(f) < 2, F.lit(0)).otherwise(F.size(F.filter(pairs, lambda x: x["a"] != x["b"]))).cast("long")
+
+    return bound(files, count)
 
 
 def files_involved(files: Column) -> Column:

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.chains import bound, transitions
+
 
 def inside(file: Column, directory: str) -> Column:
     """A bare file name counts as inside."""
-    f = F.regexp_replace(file, r"\\", "/")
     d = directory.strip("/")
-    return ~F.contains(f, F.lit("/")) | (f == d) | f.startswith(d + "/")
+    return bound(F.regexp_replace(file, r"\\", "/"), lambda f: ~F.contains(f, F.lit("/")) | (f == d) | f.startswith(d + "/"))
 
 
 def head_in_rest_out(files: Column, directory: str) -> Column:
-    rest = F.slice(files, F.lit(2), F.greatest(F.size(files) - 1, F.lit(0)))
-    return inside(F.element_at(files, 1), directory) & (F.size(files) > 1) & F.forall(rest, lambda f: ~inside(f, directory))
+    rest = lambda fs: F.slice(fs, F.lit(2), F.greatest(F.size(fs) - 1, F.lit(0)))
+    return bound(files, lambda fs: inside(F.element_at(fs, 1), directory) & (F.size(fs) > 1) & F.forall(rest(fs), lambda f: ~inside(f, directory)))
 
 
 def head_in_has_outside(files: Column, directory: str) -> Column:
-    return inside(F.element_at(files, 1), directory) & F.exists(files, lambda f: ~inside(f, directory))
+    return bound(files, lambda fs: inside(F.element_at(fs, 1), directory) & F.exists(fs, lambda f: ~inside(f, directory)))
 
 
 def outside_ratio(files: Column, directory: str) -> Column:
-    return F.size(F.filter(files, lambda f: ~inside(f, directory))) / F.size(files)
+    return bound(files, lambda fs: F.size(F.filter(fs, lambda f: ~inside(f, directory))) / F.size(fs))
 
 
 def tail_outside(files: Column, directory: str) -> Column:
@@ -32,8 +33,6 @@ def tail_outside(files: Column, directory: str) -> Column:
 
 def basename_transitions(files: Column) -> Column:
     """Neighbours whose files' base names differ."""
-    from graphloom.operators.chains import transitions
-
     return transitions(F.transform(files, lambda f: F.element_at(F.split(f, "/"), -1)))
 
 

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import chains as C
+from graphloom.operators import legacy as L
 from graphloom.plans import catalog
 from graphloom.sinks.reports import chain_lines
 
 SF = "/root/testdata/sf0.001"
 #: By query: joins in the plan of the result, without the tables that are written before.
-JOINS = {"chains_jsonl": 1}
+JOINS = {"chains_jsonl": 1, "chains_cross_file": 1, "legacy_chains_head_out": 1}
 
 
 @pytest.mark.parametrize("name", JOINS)
@@ -23,6 +24,16 @@ def test_leaves_are_joined_once_and_nodes_never(spark, name):
     assert len(re.findall(r"\bJoin \w+", plan)) == JOINS[name]
 
 
+def test_a_filter_finds_the_files_once(spark):
+    ch = spark.createDataFrame([(["a", "b"], [0, 1])], "path array<string>, ordpath array<long>")
+    plan = C.with_files(ch, lambda x: F.concat(F.lit("mark"), x)).where("transitions > 0").select("path")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mark") == 1
+    for keep in (L.head_in_rest_out, L.head_in_has_outside, lambda f, d: L.outside_ratio(f, d) >= 0.5, L.tail_outside):
+        f = F.transform("path", lambda x: F.concat(F.lit("mark/"), x))
+        df = ch.where(keep(f, "src"))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("mark") == 1
+
+
 def walks(edges, front, depth, revisit, leaves_only):
     """path: all paths from the nodes of front, by recursion."""
     out, nxt = [], {}
