@@ -14,7 +14,9 @@ from graphloom.sinks.reports import chain_lines
 
 SF = "/root/testdata/sf0.001"
 #: By query: joins in the plan of the result, without the tables that are written before.
-JOINS = {"chains_jsonl": 1, "chains_cross_file": 1, "legacy_chains_head_out": 1, "chain_cross_hist": 1}
+JOINS = {
+    "chains_jsonl": 1, "chains_cross_file": 1, "legacy_chains_head_out": 1, "chain_cross_hist": 1, "legacy_tail_outside": 1,
+}
 
 
 @pytest.mark.parametrize("name", JOINS)
