@@ -15,7 +15,7 @@ from graphloom.sinks.reports import chain_lines
 SF = "/root/testdata/sf0.001"
 #: By query: joins in the plan of the result, without the tables that are written before.
 JOINS = {
-    "chains_jsonl": 1, "chains_cross_file": 1, "legacy_chains_head_out": 1, "chain_cross_hist": 1, "legacy_tail_outside": 1, "legacy_best_index": 3, "chain_files": 1, "legacy_min_outside_ratio": 1, "best_chain": 1, "chains_recursive_cte": 2, "chain_length_hist": 1,
+    "chains_jsonl": 1, "chains_cross_file": 1, "legacy_chains_head_out": 1, "chain_cross_hist": 1, "legacy_tail_outside": 1, "legacy_best_index": 3, "chain_files": 1, "legacy_min_outside_ratio": 1, "best_chain": 1, "chains_recursive_cte": 2, "chain_length_hist": 1, "chains_dag": 1,
 }
 
 
